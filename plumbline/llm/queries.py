@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_bpe, token_count
+from plumbline.llm import byte_bpe, quality, token_count
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
