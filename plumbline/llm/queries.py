@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_bpe, mixing, quality, token_count
+from plumbline.llm import byte_bpe, fingerprints, mixing, quality, token_count
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op2_quality_rules": quality.op2_quality_rules,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
