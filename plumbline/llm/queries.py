@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_bpe, fingerprints, mixing, quality, token_count
+from plumbline.llm import byte_bpe, fingerprints, mixing, quality, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.OP7_SQL,
 }
