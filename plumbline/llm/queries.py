@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_bpe, fingerprints, mixing, quality, token_count, toxicity
+from plumbline.llm import byte_bpe, fingerprints, lm_score, mixing, quality, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_lm_scores": lm_score.op3_lm_scores,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op9_fingerprints": fingerprints.op9_fingerprints,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_lm_scores": lm_score.op3_lm_scores,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.OP7_SQL,
 }
