@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import byte_bpe, fingerprints, lm_score, mixing, quality, token_count, toxicity
+from plumbline.llm import byte_bpe, fingerprints, lm_score, mixing, near_dups, quality, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scores": lm_score.op3_lm_scores,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_near_duplicates": near_dups.op8_near_duplicates,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
@@ -18,4 +19,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_lm_scores": lm_score.op3_lm_scores,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op8_near_duplicates": near_dups.OP8_SQL,
 }
