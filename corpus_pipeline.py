@@ -1,18 +1,103 @@
-"""Stages that turn a table of documents into a training mix."""
+"""Stages that turn a table of documents into encoded training text.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents. It works
+on everything that the stage before it kept. Null and empty texts pass all stages (they are clean, near nothing, and
+have no token); an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.llm import byte_bpe, mixing, near_dups, suffix_dedup, toxicity
+from plumbline.llm.common import documents, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below the threshold."""
+    scored = toxicity.toxicity(docs.select(*COLUMNS), documents(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the least id; one row of rows with one id."""
+    docs = docs.select(*COLUMNS)
+    found = near_dups.near_duplicates(docs)
+    kept = found.where("kept AND id IS NOT NULL").select(F.col("id").alias("_id")).distinct()
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source")))
+    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1")
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur elsewhere. A character of which a byte goes, goes."""
+    found = suffix_dedup.with_spans(docs.select(*COLUMNS))
+    cut = F.size("spans") > 0
+    text = F.when(cut, F.decode(suffix_dedup.remaining(F.col("text"), whole_characters(F.col("spans"), F.col("text"))), "UTF-8")).otherwise(F.col("text"))
+    found = found.withColumn("text", text)
+    return found.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def whole_characters(spans, text):
+    """Spans of bytes, widened to whole UTF-8 characters."""
+    raw = text.cast("binary")
 
-STAGES: list = []
+    def inside(at):
+        """Whether a character goes on at that byte."""
+        byte = F.conv(F.hex(F.substring(raw, (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return (at < F.octet_length(raw)) & byte.between(128, 191)
 
+    def back(at):
+        out = at
+        for _ in range(3):
+            out = F.when(inside(out), out - 1).otherwise(out)
+        return out
+
+    def on(at):
+        out = at
+        for _ in range(3):
+            out = F.when(inside(out), out + 1).otherwise(out)
+        return out
+
+    return F.transform(spans, lambda s: F.struct(back(s["begin"]).alias("begin"), on(s["end"]).alias("end")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, those that it takes twice as two rows."""
+    docs = docs.select(*COLUMNS).withColumn("_id", F.xxhash64(*COLUMNS))
+    sizes = mixing.measured(docs.select("doc_id", "source", "text", "_id"))
+    taken = mixing.queue(sizes).groupBy(F.col("_id").alias("_t")).agg(F.count("*").cast("int").alias("_n"))
+    rows = docs.dropDuplicates(["_id"]).join(taken, F.col("_id") == F.col("_t"))
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document's tokens, and the digest of the text that they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), ranks), ranks)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_repeats),
+    ("mixing", mix),
+    ("byte-level BPE", encode),
+]
+
+#: SQL can express neither the learnt scores nor the encoding.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.common import stored
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
