@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, mix64, shuffle_partitions, stored, text_slices
+from plumbline.llm.common import documents, give_back, mix64, shuffle_partitions, small_batches, stored, text_slices
 from plumbline.llm.toxicity import remainder
 
 END = np.uint64(0x5EED0E4D)
@@ -38,17 +38,18 @@ WORDS, PAIRS = 0, 1
 class ModelSize:
     filter_bytes: int = 64 << 20  # of the filter, at most
     table_words: int = 1_500_000  # of the table of frequent words, at most
+    table_count: int = 8  # of a word of the table, at least
     bits: int = 8  # of the filter, for each entry
     probes: int = 4
     least_pair: int = 2  # a pair found once says nothing about the next text
-    block: int = 2_000_000  # tokens of a block
+    block: int = 1_000_000  # tokens of a block
     weight_rows: int = 2_000  # training rows from which the weights of pairs are read
 
 
 class WordIds(dict):
     """Numbers words of bytes; hashes of new ones are taken when asked for."""
 
-    def __init__(self, at_most: int = 400_000):
+    def __init__(self, at_most: int = 200_000):
         super().__init__()
         self.at_most, self.new = at_most, []
 
@@ -135,7 +136,7 @@ def gathered(texts: DataFrame, ranges_log2: int, size: ModelSize) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 16]), (pa.int32(), pa.int32(), pa.binary()))], ["range", "kind", "grams"])
 
         for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
+            for _, texts in text_slices(batch.column(0), 1 << 21):
                 flat, counts = tokens_of(texts, ids)
                 known = np.concatenate([known, hashes_of(ids.new)])
                 ids.new.clear()
@@ -151,6 +152,7 @@ def gathered(texts: DataFrame, ranges_log2: int, size: ModelSize) -> DataFrame:
                     n = 0
         if n:
             yield from flush()
+        give_back()
 
     return texts.mapInArrow(blocks, "range int, kind int, grams binary")
 
@@ -270,7 +272,8 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
     word_from = first_level(hist["word"], room / 2, 1, lambda q, first: q)
     used = sum(int(n) * q for q, n in enumerate(hist["word"]) if q >= word_from)
     pair_from = first_level(hist["pair"], room - used, int(level(np.array([size.least_pair]))[0]))
-    table_from = first_level(hist["word"], size.table_words, 1, lambda q, first: 1)
+    least = int(level(np.array([size.table_count]))[0])
+    table_from = first_level(hist["word"], size.table_words, least, lambda q, first: 1)
     bits, probes = size.bits, size.probes
 
     def fill(batches):
@@ -360,7 +363,7 @@ def pair_weights(texts: DataFrame, model: Model) -> np.ndarray:
     def shares(batches):
         seen, again = np.zeros(LEVELS, np.int64), np.zeros(LEVELS, np.int64)
         for batch in batches:
-            for _, rows in text_slices(batch.column(0)):
+            for _, rows in text_slices(batch.column(0), 1 << 21):
                 _, _, _, before, pair, _ = scorer(sent).read(rows)
                 seen += np.bincount(before, minlength=LEVELS)
                 again += np.bincount(before[pair > 0], minlength=LEVELS)
@@ -378,6 +381,7 @@ SCORED = "n_tokens long, n_words_known long, log_known double, score double, res
 
 def lm_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", size: ModelSize = ModelSize()) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score; learnt from rows where train holds."""
+    docs = small_batches(docs)
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t")
     model, held = trained(spark, docs.where(train).select(raw), size)
@@ -390,7 +394,7 @@ def lm_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "
     @F.arrow_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     def score(texts: pa.Array) -> pa.Array:
         s, parts = scorer(sent), []
-        for _, rows in text_slices(texts, 1 << 21):
+        for _, rows in text_slices(texts, 1 << 20):
             h, c, lev, before, pair, first = s.read(rows)
             n = np.diff(np.append(first, len(h)))
             of = np.repeat(np.arange(len(rows)), n)
