@@ -3,10 +3,11 @@
 A text's set holds the hashes of its word shingles; a text of fewer words has one shingle, all its words. Register i of
 its sketch is the truncated logarithm of the least of exponentially distributed values, one for each element, so
 sketches of parts merge by the maximum, and registers of similar sets are often equal. Texts with equal sets form a
-class, of which the least id goes on. Bands of registers make buckets. In each bucket all are first compared with the
-least id; then, in the buckets that still hold different components, those of different components with each other, in
-blocks. A pair is compared by the likelihood of its registers given both sizes first, and if a similarity of the
-threshold isn't far less likely than the best one, on the full sets. Links make components.
+class, of which the least id goes on. Bands of registers make buckets. A pair is plausible if, by the joint likelihood
+of its registers given both sizes, a similarity of the threshold isn't far less likely than the best one. In each bucket
+all are first paired with the least id; then, in the buckets that still hold different groups, those of different groups
+with each other, in blocks. Plausible pairs make groups. Inside a group, pairs are confirmed on the full sets, the
+likeliest first and none that is connected already. Confirmed links make components.
 
 At similarity 0.8, a pair shares no bucket with a probability of (1 - 0.8**3)**20 < 1e-6. Sets are told apart by 64-bit
 hashes, equal sets by 128 bits.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, mix64, stored, text_slices
+from plumbline.llm.common import documents, give_back, mix64, small_batches, stored, text_slices
 from plumbline.llm.graph import components
 from plumbline.llm.lm_score import WordIds, hashes_of, tokens_of
 
@@ -39,7 +40,7 @@ class Sketching:
     rate: float = 20.0
     most: int = 65534
     margin: float = 14.0  # of log-likelihood
-    block: int = 1000  # rows of a bucket that are compared at once
+    block: int = 3000  # rows of a bucket or group that are compared at once
 
     @property
     def registers(self) -> int:
@@ -149,7 +150,7 @@ def sketches(docs: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
     def sketch(batches):
         shingler = Shingler(how.shingle)
         for batch in batches:
-            for at, texts in text_slices(batch.column(1), 1 << 21):
+            for at, texts in text_slices(batch.column(1), 1 << 20):
                 sets = shingler.sets(texts)
                 regs = registers(sets, how)
                 with np.errstate(over="ignore"):
@@ -189,7 +190,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, how: Sket
         for batch in batches:
             at = batch.column(1).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63) & 1).astype(bool)))
-            for first, texts in text_slices(batch.column(2), 1 << 21):
+            for first, texts in text_slices(batch.column(2), 1 << 20):
                 found = shingler.sets(texts)
                 with np.errstate(over="ignore"):
                     s = np.array([mix64(x).sum() if len(x) else 0 for x in found], np.uint64).view(np.int64)
@@ -200,26 +201,117 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, how: Sket
     return found.join(wanted, ["id", "s"], "left_semi").dropDuplicates(["id", "s"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
-    """Those pairs (a, sa, b, sb) whose sets are as similar as a link asks for, as links (u, v)."""
-    wanted = pairs.select(F.col("a").alias("id"), F.col("sa").alias("s")).union(pairs.select("b", "sb")).distinct()
-    held = stored(full_sets(docs, wanted, key, text, how), "sets")
+class Unions:
+    """Which of some labels are known to belong together."""
 
-    @F.arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+    def __init__(self):
+        self.over: dict = {}
+
+    def root(self, x):
+        while (y := self.over.get(x, x)) != x:
+            self.over[x] = x = self.over.get(y, y)
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether they were apart so far."""
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.over[max(x, y)] = min(x, y)
+        return True
+
+
+def enough_equal(how: Sketching) -> int:
+    """Equal registers that a pair at the threshold has but for a probability of less than 1e-7."""
+    t = how.percent / 100
+    return int(how.registers * t - 5.4 * (how.registers * t * (1 - t)) ** 0.5)
+
+
+def forest(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[bytes], block: np.ndarray, i: int, j: int, how: Sketching) -> list[tuple[int, int]]:
+    """Links that connect all that links connect among two blocks of rows, each confirmed on the full sets.
+
+    Pairs go by falling number of equal registers, and those already connected are left out, so a large group of close
+    copies costs about one comparison of sets for each of its rows."""
+    unions, out = Unions(), []
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    full = [np.frombuffer(x, np.uint64) for x in sets]
+    least = enough_equal(how)
+    xs, ys, es = [], [], []
+    for x in left:
+        y = right[right > x] if i == j else right
+        y = y[100 * np.minimum(n[y], n[x]) >= how.percent * np.maximum(n[y], n[x])]
+        equal = (regs[y] == regs[x]).sum(1)
+        hit = equal >= least
+        xs.append(np.full(int(hit.sum()), x))
+        ys.append(y[hit])
+        es.append(equal[hit])
+        if sum(map(len, xs)) > 2_000_000:  # bounded memory: what is gathered is settled first
+            _settle(xs, ys, es, ids, full, unions, out, how)
+    _settle(xs, ys, es, ids, full, unions, out, how)
+    return out
+
+
+def _settle(xs, ys, es, ids, full, unions: Unions, out: list, how: Sketching) -> None:
+    if xs:
+        x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+        for k in np.argsort(-e, kind="stable").tolist():
+            a, b = int(x[k]), int(y[k])
+            if unions.root(a) == unions.root(b):
+                continue
+            p, q = full[a], full[b]
             both = np.concatenate([p, q])
-            both.sort()
+            both.sort(kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= how.percent * (len(p) + len(q) - shared))
-        return pa.array(out, pa.bool_())
-
-    first = held.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("set").alias("xa"))
-    second = held.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("set").alias("xb"))
-    both = pairs.join(second, ["b", "sb"]).join(first, ["a", "sa"])
-    return both.where(linked("xa", "xb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if 100 * shared >= how.percent * (len(p) + len(q) - shared):
+                unions.join(a, b)
+                out.append((int(ids[a]), int(ids[b])))
+    xs.clear()
+    ys.clear()
+    es.clear()
+
+
+def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
+    """Links (u, v) that connect what links connect. grouped: (id, s1, n, regs, c), where c is a group that no plausible
+    pair leaves. Large groups are cut into blocks, and each pair of blocks is looked at by itself."""
+    size = grouped.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1")
+    size = size.select("_c", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
+    grouped = stored(grouped.join(size, F.col("c") == F.col("_c")), "groups")
+    sets = full_sets(docs, grouped.select("id", F.col("s1").alias("s")), key, text, how)
+    held = grouped.join(sets.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("s")))
+    held = held.withColumn("_own", F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int"))
+    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    held = held.select("c", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "n", "regs", "set")
+    held = held.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+
+    def link(batches):
+        rows: list = []
+        last = None
+
+        def close():
+            ids, n, own = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 3))
+            regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
+            return forest(ids, n, regs, [r[7] for r in rows], own, last[1], last[2], how)
+
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != last:
+                    if rows:
+                        found += close()
+                        rows.clear()
+                    last = row[:3]
+                rows.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+                found = []
+        if rows:
+            found = close()
+            rows.clear()
+            give_back()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
+
+    return held.mapInArrow(link, "u long, v long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
@@ -239,41 +331,43 @@ def plausible(pairs: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
     return both.where(ok("ra", "rb", "na", "nb")).select("a", "sa", "b", "sb")
 
 
-def across(buckets: DataFrame, how: Sketching) -> DataFrame:
-    """Pairs (a, sa, b, sb) of different components that share a bucket and that the registers don't speak against.
+def across(buckets: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
+    """Pairs (u, v) of groups, which connect all groups of which rows share a bucket and the registers don't speak against.
 
-    buckets: (key, id, s1, n, regs, c). A bucket is cut into blocks of rows, and each pair of blocks is a task's group."""
+    buckets: (key, id, s1, c); reps: (id, s1, n, regs, ...). A bucket is cut into blocks of rows, and each pair of blocks is a task's group."""
     size = buckets.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
     size = size.where("_lo <> _hi AND _n > 2").select("_k", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
     held = buckets.join(size, F.col("key") == F.col("_k"))
+    held = held.join(reps.select("id", "s1", "n", "regs"), ["id", "s1"])
     own = F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int")
     held = held.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     held = held.select("id", "s1", "n", "regs", "c", "_own", "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
 
+    least = enough_equal(how)
+
     def compare(table: pa.Table) -> pa.Table:
-        ids, s, n, c, block = (table[x].to_numpy() for x in ("id", "s1", "n", "c", "_own"))
+        ids, n, c, block = (table[x].to_numpy() for x in ("id", "n", "c", "_own"))
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(ids), -1)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
+        unions, out = Unions(), []
         for x in left:
             y = right[(c[right] != c[x]) & (np.minimum(n[right], n[x]) * 100 >= how.percent * np.maximum(n[right], n[x]))]
             if i == j:
                 y = y[y > x]
+            y = y[(regs[y] == regs[x]).sum(1) >= least] if len(y) else y
             if len(y):
                 y = y[likely(np.broadcast_to(regs[x], (len(y), regs.shape[1])), regs[y], np.full(len(y), n[x]), n[y], how)]
-                out += [(x, z) for z in y]
-        x, y = (np.array([o[k] for o in out], np.int64) for k in (0, 1))
-        x, y = np.where(ids[x] < ids[y], x, y) if len(x) else x, np.where(ids[x] < ids[y], y, x) if len(x) else y
-        return pa.table({"a": ids[x], "sa": s[x], "b": ids[y], "sb": s[y]})
+                out += [(int(c[x]), int(c[z])) for z in y if unions.join(int(c[x]), int(c[z]))]
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    found = held.groupBy("key", "i", "j").applyInArrow(compare, "a long, sa long, b long, sb long")
-    return found.distinct()
+    return held.groupBy("key", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Sketching = Sketching()) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs."""
-    held = stored(sketches(docs, key, text, how), "sketches")
+    held = stored(sketches(small_batches(docs), key, text, how), "sketches")
     classes = held.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n")
     reps = stored(classes.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("regs").alias("regs")), "classes")
 
@@ -281,22 +375,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     least = buckets.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("id", "s1")).alias("_m"), F.count("*").alias("_n")).where("_n > 1")
     star = buckets.join(least, F.col("key") == F.col("_k"))
     star = star.select(F.col("_m.id").alias("a"), F.col("_m.s1").alias("sa"), F.col("id").alias("b"), F.col("s1").alias("sb")).where("a <> b").distinct()
-    star = stored(plausible(star, reps, how), "star")
-
-    first = star.groupBy("b", "sb").agg(F.min(F.struct("a", "sa")).alias("_m")).select("_m.*", "b", "sb")
-    links = stored(confirmed(docs, first, key, text, how), "confirmed")
-    hung = components(links)
+    star = plausible(star, reps, how).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    hung = components(star)
 
     part = reps.join(hung, F.col("id") == F.col("u"), "left").withColumn("c", F.coalesce("v", "id")).drop("u", "v")
-    part = stored(part.select("id", "s1", "n", "regs", "keys", "c"), "parts")
-    of = part.select(F.col("id").alias("_i"), F.col("c").alias("_c")).distinct()
-    rest = star.join(of.withColumnsRenamed({"_i": "_ia", "_c": "_ca"}), F.col("a") == F.col("_ia")).join(of, F.col("b") == F.col("_i"))
-    rest = rest.where("_ca <> _c").select("a", "sa", "b", "sb")
-    rest = rest.union(across(part.select(F.explode("keys").alias("key"), "id", "s1", "n", "regs", "c"), how)).distinct()
-    rest = stored(rest.join(first, ["a", "sa", "b", "sb"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.union(confirmed(docs, rest, key, text, how))
-        hung = components(hung.union(links))
+    more = stored(across(part.select(F.explode("keys").alias("key"), "id", "s1", "c"), reps, how), "across")
+    if not more.isEmpty():
+        over = components(more)
+        part = part.join(over, F.col("c") == F.col("u"), "left").withColumn("c", F.coalesce("v", "c"))
+    hung = components(confirmed(docs, part.select("id", "s1", "n", "regs", "c"), key, text, how))
 
     named = reps.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n").alias("_n"), F.col("id").alias("_rep"))
     out = held.select("id", "n", "s1", "s2").join(named, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n")), "left")
