@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents, mix64, shuffle_partitions, stored, text_slices
+from plumbline.llm.common import documents, give_back, mix64, shuffle_partitions, small_batches, stored, text_slices
 
 
 @dataclass(frozen=True)
@@ -36,10 +37,11 @@ class Repeats:
     length: int = 200
     gram: int = 64  # a power of two
     bitmap_log2: int = 28  # bits that mark hashes found twice
-    run: int = 60_000  # suffixes of a run
+    run: int = 40_000  # suffixes of a run
     splitter_bytes: int = 24
     samples: int = 16  # for the splitters, of each block of a scan
     pairwise: int = 4096  # comparisons up to which a cluster is compared pair by pair
+    copies: int = 4_000_000  # whole copies that are known beforehand, at most; others are found like any passage
 
     @property
     def window(self) -> int:
@@ -97,7 +99,33 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(texts), np.cumsum([len(t) for t in texts])
 
 
-def marked(texts: DataFrame, how: Repeats) -> tuple[np.ndarray, list[bytes]]:
+def whole_copies(texts: DataFrame, how: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of texts that have an equal one, and which of them stand for their copies.
+
+    texts: (key, text). All bytes of such texts go, and one of each group is enough for others to be compared with. To
+    know them only spares work, so the table is cut at a bound."""
+    held = texts.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n")).where(F.col("n") >= how.length)
+    groups = held.groupBy("h", "g", "n").agg(F.min("key").alias("rep"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
+    found = held.join(groups, ["h", "g", "n"]).select("key", (F.col("key") == F.col("rep")).alias("rep")).distinct().limit(how.copies).toArrow().sort_by("key")
+    return found["key"].to_numpy(), found["rep"].to_numpy()
+
+
+def place_in(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each key its place in a sorted array, -1 if it isn't there."""
+    if not len(found):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    return np.where(found[at] == keys, at, -1)
+
+
+def without_copies(batch: pa.RecordBatch, copies: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """Rows (key, text) but for copies that another stands for."""
+    keys, rep = copies
+    at = place_in(batch.column(0).to_numpy(zero_copy_only=False), keys)
+    return batch if not len(keys) else batch.filter(pa.array((at < 0) | rep[at]))
+
+
+def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[bytes]]:
     """The bitmap of anchor hashes found twice, by their leading bits, and splitters of the sort order."""
     spark = texts.sparkSession
     log2 = max(1, (shuffle_partitions(spark) - 1).bit_length())
@@ -118,18 +146,19 @@ def marked(texts: DataFrame, how: Repeats) -> tuple[np.ndarray, list[bytes]]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())))], ["range", "hashes", "twice", "samples"])
 
         for batch in batches:
-            for _, rows in text_slices(batch.column(0), 1 << 20):
+            for _, rows in text_slices(without_copies(batch, copies.value).column(1), 1 << 19):
                 data, ends = joined(rows)
                 at, h = anchors(np.frombuffer(data, np.uint8), ends, how)
                 parts.append(h)
                 size += len(h)
                 for p in at[np.argsort(h, kind="stable")[: how.samples]].tolist():
                     samples.append(data[p : p + how.splitter_bytes])
-                if size >= 2_000_000:
+                if size >= 500_000:
                     yield from flush()
                     size = 0
         if size:
             yield from flush()
+        give_back()
 
     blocks = stored(texts.mapInArrow(gather, "range int, hashes binary, twice binary, samples array<binary>"), "anchors")
     bits = how.bitmap_log2
@@ -150,7 +179,7 @@ def marked(texts: DataFrame, how: Repeats) -> tuple[np.ndarray, list[bytes]]:
     width = 1 << bits - log2 - 3
     for r, b in zip(found["range"].to_pylist(), found["bits"]):
         bitmap[r * width : (r + 1) * width] = np.frombuffer(b.as_py(), np.uint8)
-    ranges = 4 * shuffle_partitions(spark)
+    ranges = 8 * shuffle_partitions(spark)
     sample = blocks.where("range < 0").select(F.explode("samples").alias("s")).orderBy(F.xxhash64("s"), "s").limit(40 * ranges).toArrow()["s"].to_pylist()
     sample.sort()
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
@@ -179,12 +208,13 @@ def coded(entries: list) -> bytes:
         keys += k
         places += p
         last = suffix
-    return pickle.dumps((bytes(shared) if max(shared) < 256 else shared, rest, before, counts, np.array(keys, np.int64).tobytes(), np.array(places, np.int64).tobytes()), protocol=5)
+    held = (bytes(shared) if max(shared) < 256 else shared, rest, before, counts, np.array(keys, np.int64).tobytes(), np.array(places, np.int64).tobytes())
+    return zstandard.compress(pickle.dumps(held, protocol=5), 1)
 
 
 def decoded(run: bytes):
     """(shared, suffix, before, keys, places) of a run, in order."""
-    shared, rest, before, counts, keys, places = pickle.loads(run)
+    shared, rest, before, counts, keys, places = pickle.loads(zstandard.decompress(run))
     keys, places = np.frombuffer(keys, np.int64), np.frombuffer(places, np.int64)
     last, at = b"", 0
     for n, r, left, c in zip(shared, rest, before, counts):
@@ -298,7 +328,7 @@ def reach(cluster: list, how: Repeats) -> list[tuple[int, int]]:
     return out
 
 
-def spans(texts: DataFrame, bitmap: np.ndarray, splitters: list[bytes], how: Repeats) -> DataFrame:
+def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes], how: Repeats) -> DataFrame:
     """(key, spans) of a table (key, binary text): packed beginnings and ends of matches, in several rows for a key."""
     sent = texts.sparkSession.sparkContext.broadcast((bitmap, splitters))
 
@@ -328,9 +358,12 @@ def spans(texts: DataFrame, bitmap: np.ndarray, splitters: list[bytes], how: Rep
                     to = lo
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([coded(ordered[at:to])], pa.binary())], ["range", "run"])
                 at = to
+            ordered.clear()
+            give_back()
 
         for batch in batches:
-            for first, rows in text_slices(batch.column(1), 1 << 20):
+            batch = without_copies(batch, copies.value)
+            for first, rows in text_slices(batch.column(1), 1 << 19):
                 data, ends = joined(rows)
                 at, h = anchors(np.frombuffer(data, np.uint8), ends, how)
                 place = h >> np.uint64(64 - how.bitmap_log2)
@@ -353,6 +386,7 @@ def spans(texts: DataFrame, bitmap: np.ndarray, splitters: list[bytes], how: Rep
                     count = 0
         if held:
             yield from flush()
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
@@ -387,6 +421,7 @@ def spans(texts: DataFrame, bitmap: np.ndarray, splitters: list[bytes], how: Rep
         if cluster:
             close()
         packed = [np.array(united(v), np.int64).tobytes() for v in found.values()]
+        give_back()
         return pa.table({"key": pa.array(list(found), pa.int64()), "spans": pa.array(packed, pa.binary())})
 
     sorted_runs = texts.mapInArrow(runs, "range int, run binary").repartition(len(splitters) + 1, "range")
@@ -408,23 +443,28 @@ BITMAP = 26
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "spans", how: Repeats = Repeats()) -> DataFrame:
     """docs with the sorted, disjoint spans of bytes that go: array<struct<begin:long,end:long>>."""
+    docs = small_batches(docs)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     own = F.xxhash64(F.col(key), F.col(text))
-    bitmap, splitters = marked(docs.select(raw.alias("t")), how)
-    found = stored(spans(docs.select(own.alias("key"), raw.alias("t")), bitmap, splitters, how), "spans")
-    found = found.groupBy("key").agg(F.collect_list("spans").alias("_spans"))
+    texts = docs.select(own.alias("key"), raw.alias("text"))
+    copies = docs.sparkSession.sparkContext.broadcast(whole_copies(texts, how))
+    bitmap, splitters = marked(texts, copies, how)
+    found = stored(spans(texts, copies, bitmap, splitters, how), "spans")
+    found = found.groupBy(F.col("key").alias("_found")).agg(F.collect_list("spans").alias("_spans"))
     # texts without a span needn't be shuffled: a bitmap of fixed size tells most of them
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << BITMAP))
-    bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(key), {1 << BITMAP}) % 64 as int))").alias("bit"))
+    place = F.pmod(F.xxhash64("_found"), F.lit(1 << BITMAP))
+    bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_found), {1 << BITMAP}) % 64 as int))").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << BITMAP - 6, np.int64)
     words[bits["word"].to_numpy()] = bits["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.arrow_udf("boolean")
-    def maybe(places: pa.Array) -> pa.Array:
+    @F.arrow_udf("int")
+    def kind(keys: pa.Array, places: pa.Array) -> pa.Array:
+        """2: a whole copy, 1: may have spans, 0: has none."""
         at = places.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[at >> 6] >> (at & 63) & 1).astype(bool))
+        some = (sent.value[at >> 6] >> (at & 63) & 1).astype(np.int32)
+        return pa.array(np.where(place_in(keys.to_numpy(zero_copy_only=False), copies.value[0]) >= 0, 2, some).astype(np.int32))
 
     @F.arrow_udf("array<struct<begin:long,end:long>>")
     def union(parts: pa.Array) -> pa.Array:
@@ -434,11 +474,12 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
             rows.append([{"begin": a, "end": b} for a, b in united(pairs)])
         return pa.array(rows, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
 
-    keyed = docs.withColumn("_key", own).withColumn("_maybe", maybe(F.pmod(F.xxhash64(own), F.lit(1 << BITMAP))))
+    keyed = docs.withColumn("_key", own).withColumn("_kind", kind(own, F.pmod(F.xxhash64(own), F.lit(1 << BITMAP))))
     none = F.array().cast("array<struct<begin:long,end:long>>")
-    whole = keyed.where("NOT _maybe").drop("_key", "_maybe").withColumn(out, none)
-    cut = keyed.where("_maybe").join(found, F.col("_key") == F.col("key"), "left")
-    cut = cut.withColumn(out, union("_spans")).drop("_key", "_maybe", "_spans", *(["key"] if "key" not in docs.columns else []))
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length(text).cast("long").alias("end")))
+    whole = keyed.where("_kind <> 1").withColumn(out, F.when(F.col("_kind") == 2, all_of).otherwise(none)).drop("_key", "_kind")
+    cut = keyed.where("_kind = 1").join(found, F.col("_key") == F.col("_found"), "left")
+    cut = cut.withColumn(out, union("_spans")).drop("_key", "_kind", "_spans", "_found")
     return whole.unionByName(cut)
 
 
