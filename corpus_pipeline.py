@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the columns of documents. It works
 on everything that the stage before it kept. Null and empty texts pass all stages (they are clean, near nothing, and
-have no token); an empty table gives an empty result.
+have no token) unless their whole source has no word, of which the mix takes nothing; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import byte_bpe, mixing, near_dups, suffix_dedup, toxicity
-from plumbline.llm.common import documents, stored
+from plumbline.llm.common import documents, small_batches, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold."""
-    scored = toxicity.toxicity(docs.select(*COLUMNS), documents(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(small_batches(docs.select(*COLUMNS)), documents(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
@@ -35,37 +36,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere. A character of which a byte goes, goes."""
-    found = suffix_dedup.with_spans(docs.select(*COLUMNS))
+    found = suffix_dedup.with_spans(docs.select(*COLUMNS), rest="_rest", characters=True)
     cut = F.size("spans") > 0
-    text = F.when(cut, F.decode(suffix_dedup.remaining(F.col("text"), whole_characters(F.col("spans"), F.col("text"))), "UTF-8")).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
+    found = found.withColumn("text", F.when(cut, F.decode("_rest", "UTF-8")).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
-def whole_characters(spans, text):
-    """Spans of bytes, widened to whole UTF-8 characters."""
-    raw = text.cast("binary")
-
-    def inside(at):
-        """Whether a character goes on at that byte."""
-        byte = F.conv(F.hex(F.substring(raw, (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return (at < F.octet_length(raw)) & byte.between(128, 191)
-
-    def back(at):
-        out = at
-        for _ in range(3):
-            out = F.when(inside(out), out - 1).otherwise(out)
-        return out
-
-    def on(at):
-        out = at
-        for _ in range(3):
-            out = F.when(inside(out), out + 1).otherwise(out)
-        return out
-
-    return F.transform(spans, lambda s: F.struct(back(s["begin"]).alias("begin"), on(s["end"]).alias("end")))
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, those that it takes twice as two rows."""
     docs = docs.select(*COLUMNS).withColumn("_id", F.xxhash64(*COLUMNS))
@@ -80,8 +56,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = byte_bpe.decode(byte_bpe.encode(docs.select(*COLUMNS), ranks), ranks)
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = byte_bpe.round_trip(small_batches(docs.select(*COLUMNS)), ranks)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

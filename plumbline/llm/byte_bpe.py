@@ -34,7 +34,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: Characters of one scan and columns of its blocks.
 AT_ONCE, BLOCK = 1 << 20, 64
 #: Pieces that a worker remembers, before it forgets all of them.
-CACHE = 600_000
+CACHE = 400_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -275,6 +275,20 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, decoded(F.col(ids)))
 
 
+def round_trip(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
+    """Adds the ids and the SHA-256 of the bytes that they decode to, in one pass over the texts."""
+
+    @F.arrow_udf("struct<ids:array<int>,digest:string>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        p = byte_pairs(ranks)
+        packed = list(p.encode_batch([x.as_py() or "" for x in texts]))
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        return pa.StructArray.from_arrays([held, pa.array([hashlib.sha256(p.decode(x)).hexdigest() for x in packed], pa.string())], ["ids", "digest"])
+
+    return df.withColumn("_there", there_and_back(F.col(text))).withColumns({ids: F.col("_there.ids"), digest: F.col("_there.digest")}).drop("_there")
+
+
 DIGEST = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>"
 
 

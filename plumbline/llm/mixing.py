@@ -6,7 +6,7 @@ all sources and taken until the next would exceed the budget. Running sums are t
 inside a cell), so no source and no global order lands in one task.
 
 Null texts have size 0 and a null source is a source, the last. Documents of size 0 are taken without using budget while
-the queue is served. Repeated rows each have their own place in the queue, in any order among themselves, which changes
+the queue is served; a source without a word has the target 0, and nothing of it is taken. Repeated rows each have their own place in the queue, in any order among themselves, which changes
 no figure. An empty table gives an empty result. Columns of the input stay.
 """
 

@@ -18,10 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_lm_scores": lm_score.op3_lm_scores,
-    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
-    "op5_toxicity": toxicity.op5_toxicity,
-    "op6_html_text": html_text.op6_html_text,
     "op7_mix_sources": mixing.OP7_SQL,
     "op8_near_duplicates": near_dups.OP8_SQL,
 }

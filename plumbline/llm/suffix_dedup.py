@@ -106,8 +106,11 @@ def whole_copies(texts: DataFrame, how: Repeats) -> tuple[np.ndarray, np.ndarray
     know them only spares work, so the table is cut at a bound."""
     held = texts.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.octet_length("text").alias("n")).where(F.col("n") >= how.length)
     groups = held.groupBy("h", "g", "n").agg(F.min("key").alias("rep"), F.count("*").alias("_many")).where("_many > 1").drop("_many")
-    found = held.join(groups, ["h", "g", "n"]).select("key", (F.col("key") == F.col("rep")).alias("rep")).distinct().limit(how.copies).toArrow().sort_by("key")
-    return found["key"].to_numpy(), found["rep"].to_numpy()
+    copies = held.join(groups, ["h", "g", "n"]).where("key <> rep").select("key", "rep").distinct().limit(how.copies).toArrow()
+    own, rep = copies["key"].to_numpy(), np.unique(copies["rep"].to_numpy())
+    keys = np.concatenate([own, rep])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], (np.arange(len(keys)) >= len(own))[order]
 
 
 def place_in(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -329,7 +332,7 @@ def reach(cluster: list, how: Repeats) -> list[tuple[int, int]]:
 
 
 def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes], how: Repeats) -> DataFrame:
-    """(key, spans) of a table (key, binary text): packed beginnings and ends of matches, in several rows for a key."""
+    """(key, spans) of a table (key, binary text): beginnings and ends of matches, in several rows for a key."""
     sent = texts.sparkSession.sparkContext.broadcast((bitmap, splitters))
 
     def runs(batches):
@@ -420,12 +423,27 @@ def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes],
             cluster.append((shared, suffix, left, keys, places))
         if cluster:
             close()
-        packed = [np.array(united(v), np.int64).tobytes() for v in found.values()]
+        each = [united(v) for v in found.values()]
+        flat = np.array([x for v in each for x in v], np.int64).reshape(-1, 2)
+        ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["begin", "end"])
+        out = pa.table({"key": pa.array(list(found), pa.int64()), "spans": pa.ListArray.from_arrays(ends, pairs)})
+        del found, each, flat
         give_back()
-        return pa.table({"key": pa.array(list(found), pa.int64()), "spans": pa.array(packed, pa.binary())})
+        return out
 
     sorted_runs = texts.mapInArrow(runs, "range int, run binary").repartition(len(splitters) + 1, "range")
-    return sorted_runs.groupBy("range").applyInArrow(merge, "key long, spans binary")
+    return sorted_runs.groupBy("range").applyInArrow(merge, f"key long, spans {SPANS}")
+
+
+SPANS = "array<struct<begin:bigint,end:bigint>>"
+
+
+def united_column(spans: Column) -> Column:
+    """Sorted spans, those that touch as one."""
+    joined = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))
+    step = lambda a, x: F.when((F.size(a) > 0) & (x["begin"] <= F.try_element_at(a, F.lit(-1))["end"]), joined(a, x)).otherwise(F.concat(a, F.array(x)))
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
 
 
 def united(pairs) -> list[tuple[int, int]]:
@@ -441,8 +459,10 @@ def united(pairs) -> list[tuple[int, int]]:
 BITMAP = 26
 
 
-def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "spans", how: Repeats = Repeats()) -> DataFrame:
-    """docs with the sorted, disjoint spans of bytes that go: array<struct<begin:long,end:long>>."""
+def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "spans", how: Repeats = Repeats(), rest: str | None = None, characters: bool = False) -> DataFrame:
+    """docs with the sorted, disjoint spans of bytes that go: array<struct<begin,end>>.
+
+    rest: a column for the bytes (binary) that are left; characters: of them, parts of UTF-8 characters go too."""
     docs = small_batches(docs)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     own = F.xxhash64(F.col(key), F.col(text))
@@ -450,7 +470,7 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
     copies = docs.sparkSession.sparkContext.broadcast(whole_copies(texts, how))
     bitmap, splitters = marked(texts, copies, how)
     found = stored(spans(texts, copies, bitmap, splitters, how), "spans")
-    found = found.groupBy(F.col("key").alias("_found")).agg(F.collect_list("spans").alias("_spans"))
+    found = found.groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     # texts without a span needn't be shuffled: a bitmap of fixed size tells most of them
     place = F.pmod(F.xxhash64("_found"), F.lit(1 << BITMAP))
     bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_found), {1 << BITMAP}) % 64 as int))").alias("bit"))
@@ -466,49 +486,50 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
         some = (sent.value[at >> 6] >> (at & 63) & 1).astype(np.int32)
         return pa.array(np.where(place_in(keys.to_numpy(zero_copy_only=False), copies.value[0]) >= 0, 2, some).astype(np.int32))
 
-    @F.arrow_udf("array<struct<begin:long,end:long>>")
-    def union(parts: pa.Array) -> pa.Array:
-        rows = []
-        for x in parts:
-            pairs = [tuple(p) for blob in x.as_py() or [] for p in np.frombuffer(blob, np.int64).reshape(-1, 2).tolist()]
-            rows.append([{"begin": a, "end": b} for a, b in united(pairs)])
-        return pa.array(rows, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-
     keyed = docs.withColumn("_key", own).withColumn("_kind", kind(own, F.pmod(F.xxhash64(own), F.lit(1 << BITMAP))))
-    none = F.array().cast("array<struct<begin:long,end:long>>")
+    none = F.array().cast(SPANS)
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length(text).cast("long").alias("end")))
     whole = keyed.where("_kind <> 1").withColumn(out, F.when(F.col("_kind") == 2, all_of).otherwise(none)).drop("_key", "_kind")
     cut = keyed.where("_kind = 1").join(found, F.col("_key") == F.col("_found"), "left")
-    cut = cut.withColumn(out, union("_spans")).drop("_key", "_kind", "_spans", "_found")
+    cut = cut.withColumn(out, united_column(F.coalesce("_spans", none))).drop("_key", "_kind", "_spans", "_found")
+    if rest is not None:
+        whole = whole.withColumn(rest, F.when(F.size(out) > 0, F.lit(b"")).otherwise(raw))
+        cut = cut.withColumn(rest, remaining(F.col(text), F.col(out), characters))
     return whole.unionByName(cut)
 
 
-def cut_out(text: bytes, gone: list) -> bytes:
+def cut_out(text: bytes, gone: list, characters: bool = False) -> bytes:
+    goes_on = lambda at: at < len(text) and text[at] & 0xC0 == 0x80
     parts, at = [], 0
     for s in gone:
-        parts.append(text[at : s["begin"]])
-        at = s["end"]
+        begin, end = s["begin"], s["end"]
+        if characters:
+            while begin > at and goes_on(begin):
+                begin -= 1
+            while goes_on(end):
+                end += 1
+        parts.append(text[at:begin])
+        at = max(at, end)
     parts.append(text[at:])
     return b"".join(parts)
 
 
-def remaining(text: Column, gone: Column) -> Column:
+def remaining(text: Column, gone: Column, characters: bool = False) -> Column:
     """The bytes (binary) that are left of a text."""
 
     @F.arrow_udf("binary")
     def rest(texts: pa.Array, all_gone: pa.Array) -> pa.Array:
-        return pa.array([cut_out(t.as_py() or b"", g.as_py() or []) for t, g in zip(texts, all_gone)], pa.binary())
+        return pa.array([cut_out(t.as_py() or b"", g.as_py() or [], characters) for t, g in zip(texts, all_gone)], pa.binary())
 
     return rest(text.cast("binary"), gone)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_spans(documents(spark, sf_dir).select("doc_id", "text"))
-    kept = F.when(F.size("spans") > 0, remaining(F.col("text"), F.col("spans"))).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = with_spans(documents(spark, sf_dir).select("doc_id", "text"), rest="kept")
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
-        F.sha2(kept, 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )

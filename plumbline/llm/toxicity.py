@@ -32,7 +32,7 @@ WORD = re.compile(rb"[^\x00-@\[-`{-~]+")
 DISTANCES = (1, 2, 3, 4, 5)
 FIELD = 32  # bits of a count
 #: Windows that a worker remembers, before it forgets all of them.
-CACHE = 500_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ class Windows(dict):
         super().__init__()
         self.carrier = carrier()
         how = zstandard.ZstdCompressionParameters.from_level(
-            model.level, min_match=model.least_match, write_content_size=False, write_dict_id=False, write_checksum=False
+            model.level, window_log=18, chain_log=18, hash_log=17, min_match=model.least_match, write_content_size=False, write_dict_id=False, write_checksum=False
         )
         self.packers = []
         for held in (model.ordinary, model.toxic):
@@ -106,8 +106,9 @@ class Windows(dict):
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    n, hits = counts[:, :1] + 5.0, counts[:, 1:]
-    return np.hstack([np.log1p(hits), np.log((hits + 0.5) / n), np.log(n)])
+    """Hits alone and for a hundred words, and the length; a text without hits has no evidence, however short it is."""
+    n, hits = counts[:, :1] + 20.0, counts[:, 1:]
+    return np.hstack([np.log1p(hits), np.log1p(100 * hits / n), np.log(n)])
 
 
 def expanded(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
