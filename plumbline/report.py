@@ -17,34 +17,31 @@ from plumbline.functions import masking
 from plumbline.operators import checks, evidence, findings, records, review, runs, score, stats
 from plumbline.plans import explain, links, script, signals
 from plumbline.sources import logs
+from plumbline.sources.sinks import stored
 
 
 class Run:
-    """Tables of logs. Events and stage attempts are kept in memory, since most others read them."""
+    """Tables of logs. Those that most others read are written to the session's shared folder once, which also keeps the
+    plans of the others short."""
 
     def __init__(self, lines: DataFrame, thresholds: config.Thresholds = config.Thresholds(), weights: config.Weights = config.Weights(), mask: bool = True):
         self.thresholds, self.weights = thresholds, weights
-        events, self.reading = records.parsed(lines)
-        self.raw_events = events
-        self.events = events.persist()
-        self.attempts = runs.stage_attempts(self.events).persist()
+        events, reading = records.parsed(lines)
+        self.events, self.reading = stored(events, "events"), stored(reading, "reading")
+        self.attempts = stored(runs.stage_attempts(self.events), "attempts")
         self.sites = runs.call_sites(self.events)
         self.spans = runs.duration(self.events)
-        self.capacity = runs.capacity(self.events, self.attempts, self.spans)
+        self.capacity = stored(runs.capacity(self.events, self.attempts, self.spans), "capacity")
         self.context = runs.context(self.events)
         self.failures = runs.failures(self.events)
-        self.findings = findings.findings(self.events, self.attempts, self.sites, self.capacity, thresholds)
-        self.alerts = checks.consistency(self.events, self.reading, self.attempts, self.spans, thresholds)
+        self.findings = stored(findings.findings(self.events, self.attempts, self.sites, self.capacity, thresholds), "findings")
+        self.alerts = stored(checks.consistency(self.events, self.reading, self.attempts, self.spans, thresholds), "alerts")
         self.verdicts = checks.verdict(self.alerts, self.reading)
         self.deductions = score.deductions(self.events, self.attempts, self.findings, self.context, weights)
         self.scores = score.scores(self.deductions, self.verdicts, weights)
         self.classes = evidence.class_of_runs(self.verdicts, self.context, self.failures, self.attempts, self.findings)
         self.mask = mask
 
-    def close(self) -> None:
-        self.attempts.unpersist()
-        self.events.unpersist()
-
     def masked_warnings(self) -> tuple[DataFrame, DataFrame]:
         """Unmatched warnings with their texts masked, and the pseudonyms of all hosts and paths."""
         held = runs.of_type(self.events, config.UNMATCHED).select("log_id", "seq", "level", "component", runs.field("msg").alias("msg"), "stack")
@@ -176,8 +173,8 @@ def fitted(run: Run, document: dict, prompt: str, limit: int | None, extras: dic
 def plan_block(spark: SparkSession, run: Run, document: dict, log_id: str, output: str, source: str | None = None) -> dict:
     """Plans, signals, links, phases and candidates of one run, from its output and its script."""
     held = spark.createDataFrame([(log_id, output)], "source string, text string")
-    nodes = explain.plan_nodes(held).persist()
-    found = signals.signals(nodes)
+    nodes = stored(explain.plan_nodes(held), "plan-nodes")
+    found = stored(signals.signals(nodes), "signals")
     signal_rows = rows(found.orderBy("plan_no", "id"))
     for s in signal_rows:
         s.setdefault("keys", [])
@@ -210,7 +207,6 @@ def plan_block(spark: SparkSession, run: Run, document: dict, log_id: str, outpu
         "nodes": rows(nodes.where("node_id IS NOT NULL").drop("source", "ancestors", "signature").orderBy("plan_no", "idx").limit(120)),
         "sha256": hashlib.sha256(output.encode()).hexdigest(),
     }
-    nodes.unpersist()
     return plain(out)
 
 
@@ -327,15 +323,12 @@ def analysed(spark: SparkSession, path: str, output: str | None = None, source:
     """The report of one log file, with the blocks of its plan and script where they are given."""
     lines = logs.raw_lines(spark, path)
     run = Run(lines)
-    try:
-        digest = logs.digests(spark, path).first()
-        log_id = (run.reading.select("log_id").first() or [path])[0]
-        document = report(run, log_id, metadata(digest["sha256"], digest["bytes"], run.thresholds, run.weights))
-        document["summary"] = summary(run, document)
-        if output is not None:
-            document["plan"] = plan_block(spark, run, document, log_id, output, source)
-        if source is not None:
-            document["script"] = script_block(source, "script.py", run, log_id)
-        return document
-    finally:
-        run.close()
+    digest = logs.digests(spark, path).first()
+    log_id = (run.reading.select("log_id").first() or [path])[0]
+    document = report(run, log_id, metadata(digest["sha256"], digest["bytes"], run.thresholds, run.weights))
+    document["summary"] = summary(run, document)
+    if output is not None:
+        document["plan"] = plan_block(spark, run, document, log_id, output, source)
+    if source is not None:
+        document["script"] = script_block(source, "script.py", run, log_id)
+    return document

@@ -12,87 +12,107 @@ from plumbline.operators import records
 from plumbline.sources import logs
 
 
-def run_of(spark, log: Log):
-    return report.Run(logs.lines_of(spark, log.text))
-
-
-def rules(run) -> dict[str, str]:
-    return {r["rule"]: r["severity"] for r in run.findings.collect()}
-
-
-def codes(run) -> dict[str, str]:
-    return {r["code"]: r["severity"] for r in run.alerts.collect()}
+def other_rules() -> Log:
+    log = Log().begin()
+    log.say("No Partition Defined for Window operation! Moving all data to a single partition", "WARN", "WindowExec")
+    log.say("Planning scan with bin packing, max size: 4194304 bytes, open cost is considered as scanning 4194304 bytes, number of split files: 54, prefetch: false")
+    log.say("For shuffle(0), advisory target size: 67108864, actual target size 1048576, minimum partition size: 1048576")
+    for n in range(5):
+        log.job(n, n, [100, 100], action="$anonfun$recordDeltaOperationInternal$1 at Log.scala:7").end_stage(n).end_job(n)
+    return log.end()
 
 
-def test_clean_run(spark):
-    run = run_of(spark, whole([2000] * 8, executors=1, cores=2))
-    assert codes(run) == {}
-    assert rules(run) == {}
-    s = run.scores.first()
+def retries() -> Log:
+    log = Log().begin().job(0, 3, [100, 100, 100], fail=(1,), kind="ShuffleMapStage")
+    log.say("ShuffleMapStage 3 (count at job.py:12) failed in 1.0 s due to fetch failure", "ERROR")
+    return log.job(0, 3, [100, 100], attempt=1, kind="ShuffleMapStage", open_job=False).end_stage(3, kind="ShuffleMapStage").end_job(0).end()
+
+
+def truncated() -> Log:
+    log = Log().begin().job(0, 0, [100, 100])
+    log.lines = log.lines[:-1]
+    return log
+
+
+#: Many logs in one run of the engine, which keeps them apart.
+LOGS = {
+    "clean": whole([2000] * 8, executors=1, cores=2),
+    "skew": whole([1000] * 7 + [6000], executors=1, cores=4),
+    "exploded": whole([50] * 3, submitted=500),
+    "single": whole([10], executors=1, cores=1),
+    "idle": whole([10] * 4, executors=4, cores=4),
+    "others": other_rules(),
+    "retries": retries(),
+    "truncated": truncated(),
+    "malformed": Log().raw("{}", "{}", "{}").say("Submitted application: x"),
+}
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    rows = [(name, i, line) for name, log in LOGS.items() for i, line in enumerate(log.lines, 1)]
+    held = report.Run(spark.createDataFrame(rows, "log_id string, line_no long, value string"))
+    return held
+
+
+@pytest.fixture(scope="module")
+def tables(run):
+    names = ("findings", "alerts", "scores", "classes", "attempts", "sites", "deductions")
+    out = {}
+    for name in names:
+        by_log: dict[str, list] = {}
+        for r in getattr(run, name).collect():
+            by_log.setdefault(r["log_id"], []).append(r)
+        out[name] = by_log
+    return out
+
+
+def test_clean_run(tables):
+    assert "clean" not in tables["alerts"] and "clean" not in tables["findings"]
+    s = tables["scores"]["clean"][0]
     assert (s["score"], s["band"]) == (100, "good")
-    assert run.classes.first()["class"] == "healthy"
-    a = run.attempts.first()
+    assert tables["classes"]["clean"][0]["class"] == "healthy"
+    a = tables["attempts"]["clean"][0]
     assert (a["num_tasks"], a["median_ms"], a["p95_ms"], a["total_ms"], a["skew_ratio"]) == (8, 2000.0, 2000, 16000, 1.0)
     assert (a["origin"]["job_id"], a["origin"]["call_site"]["line"], a["duration_s"], a["status"]) == ("0", 12, 2.5, "finished")
-    run.close()
 
 
 @pytest.mark.parametrize(
     ("log", "rule", "severity"),
     [
-        (whole([1000] * 7 + [6000], executors=1, cores=4), "skew_task", "MEDIUM"),
-        (whole([50] * 3, submitted=500), "exploded_stage", "HIGH"),
-        (whole([10], executors=1, cores=1), "fragmented_stages", "LOW"),
-        (whole([10] * 4, executors=4, cores=4), "low_occupancy", "MEDIUM"),
+        ("skew", "skew_task", "MEDIUM"),
+        ("exploded", "exploded_stage", "HIGH"),
+        ("single", "fragmented_stages", "LOW"),
+        ("idle", "low_occupancy", "MEDIUM"),
+        ("others", "unpartitioned_window", "HIGH"),
+        ("others", "small_files", "MEDIUM"),
+        ("others", "aqe_target_reduced", "INFO"),
+        ("others", "repeated_action", "LOW"),  # the engine's own code
     ],
 )
-def test_stage_rules(spark, log, rule, severity):
-    run = run_of(spark, log)
-    assert rules(run)[rule] == severity
-    run.close()
+def test_rules(tables, log, rule, severity):
+    assert {r["rule"]: r["severity"] for r in tables["findings"][log]}[rule] == severity
 
 
-def test_other_rules(spark):
-    log = Log().begin()
-    log.say("No Partition Defined for Window operation! Moving all data to a single partition", "WARN", "WindowExec")
-    log.say("Planning scan with bin packing, max size: 4194304 bytes, open cost is considered as scanning 4194304 bytes, number of split files: 54, prefetch: false")
-    log.say("For shuffle(0), advisory target size: 67108864, actual target size 1048576, minimum partition size: 1048576")
-    for n in range(5):
-        log.job(n, n, [100, 100], action="$anonfun$recordDeltaOperationInternal$1 at Log.scala:7").end_stage(n).end_job(n)
-    run = run_of(spark, log.end())
-    found = rules(run)
-    assert found["unpartitioned_window"] == "HIGH" and found["small_files"] == "MEDIUM" and found["aqe_target_reduced"] == "INFO"
-    assert found["repeated_action"] == "LOW"  # the engine's own code
-    assert [r["severity"] for r in run.findings.orderBy("rank").collect()][0] == "HIGH"
-    site = run.sites.first()
+def test_order_and_call_sites(tables):
+    assert min(tables["findings"]["others"], key=lambda r: r["rank"])["severity"] == "HIGH"
+    site = tables["sites"]["others"][0]
     assert (site["num_jobs"], site["job_ids"]) == (5, ["0", "1", "2", "3", "4"])
-    run.close()
 
 
-def test_retries(spark):
-    log = Log().begin().job(0, 3, [100, 100, 100], fail=(1,), kind="ShuffleMapStage")
-    log.say("ShuffleMapStage 3 (count at job.py:12) failed in 1.0 s due to fetch failure", "ERROR")
-    log.job(0, 3, [100, 100], attempt=1, kind="ShuffleMapStage", open_job=False).end_stage(3, kind="ShuffleMapStage").end_job(0).end()
-    run = run_of(spark, log)
-    first, second = run.attempts.orderBy("stage_attempt").collect()
+def test_retries(tables):
+    first, second = sorted(tables["attempts"]["retries"], key=lambda r: r["stage_attempt"])
     assert (first["status"], first["num_failed"], first["failures_by_reason"]) == ("failed", 1, {"java.io.IOException": 1})
     assert (second["status"], second["tasks_reexecuted"], second["task_retries"], second["attempts_of_stage"]) == ("finished", 2, 2, 2)
-    assert run.classes.first()["class"] == "degraded"
-    assert {d["criterion"]: d["points"] for d in run.deductions.collect()}["stage_failures"] == 5
-    run.close()
+    assert tables["classes"]["retries"][0]["class"] == "degraded"
+    assert {d["criterion"]: d["points"] for d in tables["deductions"]["retries"]}["stage_failures"] == 5
 
 
-def test_truncated_and_malformed(spark):
-    cut = Log().begin().job(0, 0, [100, 100])
-    cut.lines = cut.lines[:-1]
-    run = run_of(spark, cut)
-    assert {"NO_FINAL_STATUS", "JOBS_WITHOUT_END", "STAGES_WITHOUT_END", "TASKS_WITHOUT_END"} <= set(codes(run))
-    run.close()
-    bad = run_of(spark, Log().raw("{}", "{}", "{}").say("Submitted application: x"))
-    assert codes(bad)["UNEXPECTED_FORMAT"] == "error"
-    assert bad.scores.first()["score"] is None
-    assert bad.classes.first()["class"] == "inconclusive"
-    bad.close()
+def test_truncated_and_malformed(tables):
+    assert {"NO_FINAL_STATUS", "JOBS_WITHOUT_END", "STAGES_WITHOUT_END", "TASKS_WITHOUT_END"} <= {r["code"] for r in tables["alerts"]["truncated"]}
+    assert {r["code"]: r["severity"] for r in tables["alerts"]["malformed"]}["UNEXPECTED_FORMAT"] == "error"
+    assert tables["scores"]["malformed"][0]["score"] is None
+    assert tables["classes"]["malformed"][0]["class"] == "inconclusive"
 
 
 def test_multiline_records(spark):
@@ -133,10 +153,8 @@ def test_masking(spark):
     assert len(keys) == len(set(keys)) == len({r["pseudonym"] for r in names.collect()})
 
 
-def test_documents(spark, tmp_path):
-    log = whole([1000] * 7 + [6000], executors=1, cores=4)
-    run = run_of(spark, log)
-    document = report.report(run, "log")
+def test_documents(spark, run):
+    document = report.report(run, "skew")
     small = report.summary(run, document, config.PROFILES[2])
     assert small["stages"][0]["stage_key"] == "0.0"  # cited by a finding, though no stage is asked for
     fitted, name = report.fitted(run, document, "p", report.tokens(report.message("p", small)))
@@ -158,7 +176,6 @@ def test_documents(spark, tmp_path):
     assert "CLASS" in report.draft(objections, "log")
     held = report.stored_answer(answer, "m")
     assert report.fresh(held, "m") and not report.fresh(held, "n")
-    run.close()
 
 
 def test_files(spark, tmp_path):
