@@ -1,9 +1,8 @@
-"""python -m plumbline --log FILE [--stdout FILE] [--script FILE] [--answer FILE] --out FOLDER"""
+"""python -m plumbline --log FILE [--stdout FILE] [--script FILE] [--prompt FILE] [--answer FILE] --out FOLDER"""
 
 from __future__ import annotations
 
 import argparse
-import json
 import os
 from pathlib import Path
 
@@ -20,6 +19,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     which.add_argument("--env", help="environment variable that names the driver log")
     p.add_argument("--stdout", help="output of the job, with explain() text")
     p.add_argument("--script", help="the job's Python script")
+    p.add_argument("--prompt", help="template of a prompt, to which the summary is added")
+    p.add_argument("--max-tokens", type=int, help="tokens that the message may have")
     p.add_argument("--answer", help="an answer about the run, to be checked")
     p.add_argument("--out", required=True, help="folder for the documents")
     return p.parse_args(argv)
@@ -47,12 +48,16 @@ def main(argv: list[str] | None = None) -> int:
     document = report.analysed(spark, str(log), read(a.stdout), read(a.script))
     out = Path(a.out)
     out.mkdir(parents=True, exist_ok=True)
-    checked = None
+    checked, shown = None, {**document["summary"], **{k: document[k] for k in ("plan", "script") if k in document}}
+    if a.prompt:
+        text = report.message(report.prompt_text(a.prompt), shown)
+        if a.max_tokens and report.tokens(text) > a.max_tokens:
+            text = report.message(report.prompt_text(a.prompt), {**document["summary"], "stages": [], "call_sites": []})
+        sinks.write_text(text, str(out / f"prompt_{report.prompt_version(None, bool(a.stdout), bool(a.script))}.md"))
     if a.answer:
-        answer = json.loads(read(a.answer))
-        shown = {**document["summary"], **{k: document[k] for k in ("plan", "script") if k in document}}
+        answer, tries = report.asked(report.replayed(a.answer), "")
         checked, totals, objections = report.verified(spark, answer, shown, document.get("class"))
-        sinks.write_document({"evidence": checked, "totals": totals, "objections": objections}, str(out / "answer_checks.json"))
+        sinks.write_document({"evidence": checked, "totals": totals, "objections": objections, "tries": tries}, str(out / "answer_checks.json"))
         sinks.write_text(report.draft(objections, log.name), str(out / "review.md"))
     sinks.write_document(document, str(out / "report.json"))
     sinks.write_document(document["summary"], str(out / "summary.json"), compact=True)

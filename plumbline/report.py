@@ -260,6 +260,25 @@ def markdown(document: dict, block: dict | None = None, checked: list[dict] | No
 
 
 # ------------------------------------------------------------------ answers
+def prompt_version(chosen: str | None, with_plan: bool, with_script: bool) -> str:
+    """The prompt that is asked for, else the one for what is there: a plan, a script, or the log alone."""
+    return chosen or ("plan" if with_plan else "script" if with_script else "log")
+
+
+def prompt_text(path: str) -> str:
+    """A prompt's template without its leading comment, and with the shape of an answer where it asks for one."""
+    with open(path, encoding="utf-8") as f:
+        text = re.sub(r"\A\s*<!--.*?-->\s*", "", f.read(), flags=re.S)
+    return text.replace("{schema}", json.dumps(answer_schema(), separators=(",", ":")))
+
+
+def answer_schema() -> dict:
+    """The columns of an answer, as a JSON document."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(review.ANSWER).jsonValue()
+
+
 def replayed(path: str) -> Callable[[str], str]:
     """A provider that answers from a file."""
 

@@ -195,5 +195,13 @@ def test_files(spark, tmp_path):
 
     with pytest.raises(SystemExit):
         guarded(arguments(["--log", str(tmp_path / "none"), "--out", str(tmp_path / "o")]))
-    document = report.analysed(spark, str(path))
+    from plumbline.__main__ import main
+
+    (tmp_path / "prompt.md").write_text("<!-- note -->\nSay {schema}")
+    (tmp_path / "answer.json").write_text(json.dumps({"classification": "healthy", "evidence": [{"path": "run.stages", "value": "1"}], "bottlenecks": [], "recommendations": [], "missing": []}))
+    out = tmp_path / "out"
+    assert main(["--log", str(path), "--prompt", str(tmp_path / "prompt.md"), "--answer", str(tmp_path / "answer.json"), "--out", str(out)]) == 0
+    document = json.loads((out / "report.json").read_text())
     assert document["meta"]["log_sha256"] and document["summary"]["run"]["stages"] == 1
+    assert (out / "prompt_log.md").read_text().startswith('Say {"type":"struct"')
+    assert json.loads((out / "answer_checks.json").read_text())["totals"]["match"] == 1
