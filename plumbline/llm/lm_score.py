@@ -4,16 +4,17 @@ Tasks gather the hashed words and word pairs of the training texts as sorted blo
 that frequent ones are summed before the shuffle and no range grows with a frequent word. For each range the summed
 counts are quantised to powers of two and a filter is filled: an n-gram of level q is entered with each of the levels 1
 to q. The ranges' filters together are broadcast; a level is read by probing 1, 2, ... until a probe misses. The score
-of a word after another is interpolated from the pair's and the word's quantised counts; the weight of pairs depends on
-the level of the first word and is the share of pairs, of those that begin with such words, that are found again (the
-Good-Turing estimate of seen mass).
+of a word after another is interpolated from the pair's and the word's quantised counts; the weight of pairs is the share
+of the training tokens, of those after a word found more than once, whose pair is found again (the Good-Turing estimate
+of seen mass), and after other words there is none.
 
 The filter and the table of frequent words are broadcast and have a size that parameters bound: where more n-grams
 are found, those of the lowest levels stay out of the filter. Exact counts of the words outside the table come by a
 join, so the base score is exact at every size. Counts are held by 64-bit hashes of the words.
 
 Null and empty texts have one token, the end. Texts are taken whole. Repeated rows each count in training and score
-alike. Without training rows all counts are 0. An empty table gives an empty result. Columns of the input stay.
+alike. Without training rows all counts are 0. An empty table gives an empty result. Columns of the input stay,
+but for those that have the name of a result.
 """
 
 from __future__ import annotations
@@ -43,7 +44,6 @@ class ModelSize:
     probes: int = 4
     least_pair: int = 2  # a pair found once says nothing about the next text
     block: int = 1_000_000  # tokens of a block
-    weight_rows: int = 2_000  # training rows from which the weights of pairs are read
 
 
 class WordIds(dict):
@@ -175,7 +175,7 @@ def ranges(blocks: DataFrame, size: ModelSize) -> DataFrame:
                 out |= {"tokens": [int(c.sum())], "ends": [int(c[h == END].sum())], "word_counts": [c.tobytes()]}
             else:
                 h, c = h[c >= least], c[c >= least]
-                out["pair_levels"] = [level(c).tobytes()]
+                out |= {"pair_tokens": [int(c.sum())], "pair_levels": [level(c).tobytes()]}
             out |= {f"{name}s": [h.tobytes()], f"{name}_hist": [np.bincount(level(c), minlength=LEVELS).tolist()]}
         return pa.table({f: out[f] for f in FIELDS}).cast(SCHEMA)
 
@@ -183,7 +183,7 @@ def ranges(blocks: DataFrame, size: ModelSize) -> DataFrame:
 
 
 FIELDS = {
-    "range": "int", "tokens": "long", "ends": "long", "words": "binary", "word_counts": "binary", "pairs": "binary", "pair_levels": "binary",
+    "range": "int", "tokens": "long", "ends": "long", "pair_tokens": "long", "words": "binary", "word_counts": "binary", "pairs": "binary", "pair_levels": "binary",
     "word_hist": "array<long>", "pair_hist": "array<long>",
 }
 ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -247,7 +247,7 @@ class Model:
     table: np.ndarray  # hashes of frequent words, sorted
     table_counts: np.ndarray
     table_from: int  # level
-    weights: np.ndarray | None = None  # of pairs, by the level of the first word
+    weight: float  # of pairs
 
     def word_facts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, exact count (-1: not in the table) and filter level of each."""
@@ -266,7 +266,7 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
     """The model of a table with one binary column of training texts, and the stored ranges of its counts."""
     log2 = max(1, (shuffle_partitions(spark) - 1).bit_length())
     held = stored(ranges(gathered(texts, log2, size).repartition(1 << log2, "range"), size), "lm-counts")
-    sums = held.select("tokens", "ends", "word_hist", "pair_hist").toArrow()  # a row for each range
+    sums = held.select("tokens", "pair_tokens", "word_hist", "pair_hist").toArrow()  # a row for each range
     hist = {k: np.array(sums[f"{k}_hist"].to_pylist(), np.int64).reshape(-1, LEVELS).sum(0) for k in ("word", "pair")}
     room = size.filter_bytes * 8 / size.bits
     word_from = first_level(hist["word"], room / 2, 1, lambda q, first: q)
@@ -302,10 +302,10 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
     joined = np.frombuffer(b"\0" + b"".join(b.as_py() for b in filled["bits"]), np.uint8)
     table = np.frombuffer(b"".join(b.as_py() for b in filled["words"]), np.uint64)
     counts = np.frombuffer(b"".join(b.as_py() for b in filled["counts"]), np.int64)
-    model = Model(
-        sum(sums["tokens"].to_pylist()), int(hist["word"].sum()), Filter(log2, joined, offsets, sizes, probes), pair_from, table, counts, table_from
-    )
-    return model, held
+    tokens = sum(sums["tokens"].to_pylist())
+    after_known = tokens - int(hist["word"][1])  # tokens after a word that isn't found once only
+    weight = min(0.95, sum(sums["pair_tokens"].to_pylist()) / (after_known + 2.0))
+    return Model(tokens, int(hist["word"].sum()), Filter(log2, joined, offsets, sizes, probes), pair_from, table, counts, table_from, weight), held
 
 
 class Scorer:
@@ -342,7 +342,7 @@ class Scorer:
     def logs(self, lev, lev_before, pair) -> np.ndarray:
         m = self.m
         single = (count_of(lev) + 1) / (m.tokens + m.distinct + 1)
-        w = m.weights[lev_before]
+        w = np.where(lev_before >= m.pair_from, m.weight, 0.0)
         both = np.divide(count_of(pair), count_of(lev_before), out=np.zeros(len(pair)), where=lev_before > 0)
         return np.log10(w * np.minimum(both, 1.0) + (1 - w) * single)
 
@@ -356,40 +356,18 @@ def scorer(sent) -> Scorer:
     return _scorer[1]
 
 
-def pair_weights(texts: DataFrame, model: Model) -> np.ndarray:
-    """Share of found pairs by the level of the first word, over a table of training texts."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-
-    def shares(batches):
-        seen, again = np.zeros(LEVELS, np.int64), np.zeros(LEVELS, np.int64)
-        for batch in batches:
-            for _, rows in text_slices(batch.column(0), 1 << 21):
-                _, _, _, before, pair, _ = scorer(sent).read(rows)
-                seen += np.bincount(before, minlength=LEVELS)
-                again += np.bincount(before[pair > 0], minlength=LEVELS)
-        yield pa.RecordBatch.from_pydict({"level": np.arange(LEVELS), "seen": seen, "again": again})
-
-    found = texts.mapInArrow(shares, "level long, seen long, again long").groupBy("level").agg(F.sum("seen").alias("seen"), F.sum("again").alias("again")).toPandas()
-    out = np.zeros(LEVELS)
-    out[found["level"]] = (found["again"] / (found["seen"] + 2.0)).clip(0, 0.95)
-    sent.unpersist()
-    return out
-
-
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 SCORED = "n_tokens long, n_words_known long, log_known double, score double, rest array<long>"
 
 
-def lm_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", size: ModelSize = ModelSize()) -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSize = ModelSize()) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score; learnt from rows where train holds."""
     docs = small_batches(docs)
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t")
     model, held = trained(spark, docs.where(train).select(raw), size)
-    chosen = docs.where(train).select(F.col(key).alias("_k")).distinct().orderBy(F.xxhash64("_k"), "_k").limit(size.weight_rows)
-    sample = docs.where(train).join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("_k"))).select(raw)
-    model.weights = pair_weights(sample, model)
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, *RESULTS)]
 
     @F.arrow_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     def score(texts: pa.Array) -> pa.Array:
