@@ -199,7 +199,7 @@ def queue_join(df: DataFrame, by: Sequence[str], kind: Column, seq: str, size: s
     names = list(by)
     schema = held.select(*by).schema.add("open_seq", "long").add("close_seq", "long")
 
-    def match(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pairs = queue_match(rows.sort_values("seq"), pending_limit)
         return pd.DataFrame([(*key, a, b) for a, b in pairs], columns=[*names, "open_seq", "close_seq"])
 
