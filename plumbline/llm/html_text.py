@@ -45,7 +45,7 @@ BLOCKS = set(
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[a-z]+")
 
 
@@ -54,18 +54,21 @@ class HostRepeats:
     run: int = 4  # tokens, a power of two
     pages: int = 2  # that share a run, at least
     covered: float = 0.5  # of a block that is dropped
-    group: int = 2_000  # pages of a suffix array, about
+    group: int = 500  # pages of a suffix array, about
+    broadcast: int = 100_000  # hosts of more pages than that whose table is broadcast, at most
 
 
-def _is_aside(name: str, attributes: str) -> bool:
-    if name in NO_TEXT:
+def _is_aside(name: str, attributes: str, zone: str) -> bool:
+    if name in NO_TEXT or name == "header" and zone != MAIN:
         return True
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and not NAMES.isdisjoint(PART.findall(value)):
-            return True
+        if key in ("class", "id"):
+            parts = PART.findall(value)
+            if not NAMES.isdisjoint(parts) or "header" in parts and zone != MAIN:
+                return True
     return False
 
 
@@ -113,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if name in VOID or m[3].endswith("/"):
             continue
-        aside = bool(m[3] or name in NO_TEXT) and _is_aside(name, m[3]) or name == "header" and zone != MAIN
+        aside = _is_aside(name, m[3], zone)
         if name not in BLOCKS and not aside:
             continue
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
@@ -187,9 +190,11 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     kept = [c for c in pages.columns if c not in (page, out)]
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
     keyed = pages.select(*kept, F.coalesce(F.col(page), F.lit("")).alias("_html"), host.alias("_host"))
-    counts = keyed.groupBy(F.col("_host").alias("_h")).agg(F.ceil(F.count("*") / how.group).cast("int").alias("_groups"))
-    keyed = keyed.join(counts, F.col("_host") == F.col("_h"))
-    keyed = keyed.withColumn("_group", F.pmod(F.xxhash64("_html"), F.col("_groups"))).drop("_h", "_groups")
+    large = keyed.groupBy(F.col("_host").alias("_h")).agg(F.ceil(F.count("*") / how.group).cast("int").alias("_groups")).where("_groups > 1")
+    # one row for each host of many pages: broadcast while they are few, so that pages are shuffled once, by group
+    few = large.limit(how.broadcast + 1).count() <= how.broadcast
+    keyed = keyed.join(F.broadcast(large) if few else large, F.col("_host") == F.col("_h"), "left")
+    keyed = keyed.withColumn("_group", F.pmod(F.xxhash64("_html"), F.coalesce("_groups", F.lit(1)))).drop("_h", "_groups")
     schema = keyed.select(*kept).schema.add(out, "string")
 
     def extract(table: pa.Table) -> pa.Table:

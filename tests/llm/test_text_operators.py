@@ -114,7 +114,7 @@ def test_toxicity(spark):
 @pytest.mark.parametrize("size", [lm_score.ModelSize(), lm_score.ModelSize(table_count=1, table_words=20, filter_bytes=4096)])
 def test_language_model(spark, size):
     texts = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:60] + ["", " \n", "A a Ä ä\x0bA", "one"]
-    df = spark.createDataFrame([*enumerate(texts), (len(texts), None), (0, texts[0])], "doc_id long, text string")
+    df = spark.createDataFrame([*((i, t, "x", "x") for i, t in enumerate(texts)), (len(texts), None, "x", "x"), (0, texts[0], "x", "x")], "doc_id long, text string, n_tokens string, score string")
     found = lm_score.lm_scores(df, lm_score.remainder("doc_id", 7) != 2, size=size).collect()
     assert len(found) == len(texts) + 2
     words = [(i, (t or "").encode().lower().split() + [None]) for i, t in [*enumerate(texts), (len(texts), None), (0, texts[0])]]
@@ -146,12 +146,15 @@ def test_html(spark):
     how = html_text.HostRepeats()
     article = "<article><header><h1>A &amp; B</h1></header><p>one&nbsp;&lt;two&gt;<br>three<p>four<nav>n</nav><script>x='</p>'</script></article>"
     menu = "<div>Home news sport about us contact</div>"
-    pages = [PAGE.format(article), *(PAGE.format(f"{menu}<div><p>{' '.join(f'u{i}{j}' for j in range(9))}</p></div>") for i in range(4)), "", "<p>unclosed <b>bold", "<script>x", "a < b and c > d", "<!-- x --><p>y"]
+    pages = [PAGE.format(article), *(PAGE.format(f"{menu}<div><p>{' '.join(f'u{i}{j}' for j in range(9))}</p></div>") for i in range(4)), "", "<p>unclosed <b>bold", "<script>x", "a < b and c > d", "<!-- x --><p>y", "<div class='site-header'>h</div><p style='visibility: hidden x' data-id='menu'>z</p>"]
     found = html_text.main_texts(pages, how)
     assert found[0] == "A & B\none <two> three\nfour"
     assert found[1:5] == [" ".join(f"u{i}{j}" for j in range(9)) for i in range(4)]
-    assert found[5:] == ["", "unclosed bold", "", "a < b and c > d", "y"]
+    assert found[5:] == ["", "unclosed bold", "", "a < b and c > d", "y", "z"]
     df = spark.createDataFrame([(i, None if i == 3 else "http://h.example.com/x", p, "z") for i, p in enumerate(pages)] + [(99, "u", None, "z")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    small = [html_text.HostRepeats(group=2, broadcast=b) for b in (0, 9)]
+    split = [sorted((r["page_id"], r["text"]) for r in html_text.main_text(df, how=h).collect()) for h in small]
+    assert split[0] == split[1] and len(split[0]) == len(got)
     assert got[0] == found[0] and got[99] == "" and len(got) == len(pages) + 1
     assert html_text.main_text(df.limit(0)).count() == 0
