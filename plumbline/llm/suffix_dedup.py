@@ -18,7 +18,6 @@ stay. Rows are told apart by 64-bit hashes of id and text.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from bisect import bisect_right
 from dataclasses import dataclass
@@ -39,7 +38,7 @@ class Repeats:
     bitmap_log2: int = 28  # bits that mark hashes found twice
     run: int = 40_000  # suffixes of a run
     splitter_bytes: int = 24
-    samples: int = 16  # for the splitters, of each block of a scan
+    samples: int = 40  # texts for each splitter
     pairwise: int = 4096  # comparisons up to which a cluster is compared pair by pair
     copies: int = 4_000_000  # whole copies that are known beforehand, at most; others are found like any passage
 
@@ -134,7 +133,7 @@ def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[byt
     log2 = max(1, (shuffle_partitions(spark) - 1).bit_length())
 
     def gather(batches):
-        parts, size, samples = [], 0, []
+        parts, size = [], 0
 
         def flush():
             h = np.sort(np.concatenate(parts))
@@ -142,20 +141,17 @@ def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[byt
             twice = np.append(first[1:] == 0, False)[first]
             h = h[first]
             cuts = np.searchsorted(h, np.arange(1, 1 << log2, dtype=np.uint64) << np.uint64(64 - log2))
-            rows = [(i, h[a:b].tobytes(), np.packbits(twice[a:b]).tobytes(), []) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(h)])) if b > a]
-            rows.append((-1, b"", b"", samples[:]))
+            rows = [(i, h[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(h)])) if b > a]
             parts.clear()
-            samples.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())))], ["range", "hashes", "twice", "samples"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["range", "hashes", "twice"])
 
         for batch in batches:
             for _, rows in text_slices(without_copies(batch, copies.value).column(1), 1 << 19):
                 data, ends = joined(rows)
-                at, h = anchors(np.frombuffer(data, np.uint8), ends, how)
+                _, h = anchors(np.frombuffer(data, np.uint8), ends, how)
                 parts.append(h)
                 size += len(h)
-                for p in at[np.argsort(h, kind="stable")[: how.samples]].tolist():
-                    samples.append(data[p : p + how.splitter_bytes])
                 if size >= 500_000:
                     yield from flush()
                     size = 0
@@ -163,7 +159,7 @@ def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[byt
             yield from flush()
         give_back()
 
-    blocks = stored(texts.mapInArrow(gather, "range int, hashes binary, twice binary, samples array<binary>"), "anchors")
+    blocks = texts.mapInArrow(gather, "range int, hashes binary, twice binary")
     bits = how.bitmap_log2
 
     def mark(table: pa.Table) -> pa.Table:
@@ -177,14 +173,16 @@ def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[byt
         segment[place - np.uint32(r << bits - log2)] = True
         return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
 
-    found = blocks.where("range >= 0").select("range", "hashes", "twice").repartition(1 << log2, "range").groupBy("range").applyInArrow(mark, "range int, bits binary").toArrow()
+    found = blocks.repartition(1 << log2, "range").groupBy("range").applyInArrow(mark, "range int, bits binary").toArrow()
     bitmap = np.zeros(1 << bits - 3, np.uint8)  # what is collected is that large at most
     width = 1 << bits - log2 - 3
     for r, b in zip(found["range"].to_pylist(), found["bits"]):
         bitmap[r * width : (r + 1) * width] = np.frombuffer(b.as_py(), np.uint8)
     ranges = 8 * shuffle_partitions(spark)
-    sample = blocks.where("range < 0").select(F.explode("samples").alias("s")).orderBy(F.xxhash64("s"), "s").limit(40 * ranges).toArrow()["s"].to_pylist()
-    sample.sort()
+    # splitters only balance the ranges: a piece out of each of a bounded number of texts
+    place = F.pmod(F.xxhash64("key"), F.octet_length("text") - how.length).cast("int") + 1
+    pieces = texts.where(F.octet_length("text") > how.length).select("key", F.substring("text", place, F.lit(how.splitter_bytes)).alias("s"))
+    sample = sorted(pieces.orderBy(F.xxhash64("key"), "s").limit(how.samples * ranges).toArrow()["s"].to_pylist())
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
     return bitmap, splitters
 
@@ -212,7 +210,7 @@ def coded(entries: list) -> bytes:
         places += p
         last = suffix
     held = (bytes(shared) if max(shared) < 256 else shared, rest, before, counts, np.array(keys, np.int64).tobytes(), np.array(places, np.int64).tobytes())
-    return zstandard.compress(pickle.dumps(held, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(held, protocol=5), 3)
 
 
 def decoded(run: bytes):
