@@ -467,8 +467,8 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
     texts = docs.select(own.alias("key"), raw.alias("text"))
     copies = docs.sparkSession.sparkContext.broadcast(whole_copies(texts, how))
     bitmap, splitters = marked(texts, copies, how)
-    found = stored(spans(texts, copies, bitmap, splitters, how), "spans")
-    found = found.groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    found = spans(texts, copies, bitmap, splitters, how).groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    found = stored(found, "spans")  # after the shuffle, which leaves a few files instead of one for each range
     # texts without a span needn't be shuffled: a bitmap of fixed size tells most of them
     place = F.pmod(F.xxhash64("_found"), F.lit(1 << BITMAP))
     bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_found), {1 << BITMAP}) % 64 as int))").alias("bit"))
