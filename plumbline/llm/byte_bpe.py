@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, give_back, small_batches
 
 #: Symbols: letter, number, other, apostrophe before s t m d, apostrophe before re ve ll, white space that more white
 #: space or the end follows, other white space but a blank, blank before anything else, start of a text.
@@ -34,7 +34,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: Characters of one scan and columns of its blocks.
 AT_ONCE, BLOCK = 1 << 20, 64
 #: Pieces that a worker remembers, before it forgets all of them.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -258,6 +258,7 @@ def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids") -> D
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         packed = list(byte_pairs(ranks).encode_batch([x.as_py() or "" for x in texts]))
+        give_back(False)
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
@@ -281,6 +282,7 @@ def round_trip(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids",
     @F.arrow_udf("struct<ids:array<int>,digest:string>")
     def there_and_back(texts: pa.Array) -> pa.Array:
         p = byte_pairs(ranks)
+        give_back(False)
         packed = list(p.encode_batch([x.as_py() or "" for x in texts]))
         ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
         held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -298,6 +300,7 @@ def digests(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     @F.arrow_udf(DIGEST)
     def digested(texts: pa.Array) -> pa.Array:
         p = byte_pairs(ranks)
+        give_back(False)
         rows = []
         for x in p.encode_batch([x.as_py() or "" for x in texts]):
             rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(p.decode(x)).hexdigest()))
@@ -313,5 +316,5 @@ def digests(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = digests(small_batches(documents(spark, sf_dir).select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

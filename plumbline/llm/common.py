@@ -48,9 +48,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Returns freed memory of a Python worker, which lives on after a task, to the machine."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -49,7 +49,7 @@ class ModelSize:
 class WordIds(dict):
     """Numbers words of bytes; hashes of new ones are taken when asked for."""
 
-    def __init__(self, at_most: int = 200_000):
+    def __init__(self, at_most: int = 150_000):
         super().__init__()
         self.at_most, self.new = at_most, []
 

@@ -26,13 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, give_back
 
 WORD = re.compile(rb"[^\x00-@\[-`{-~]+")
 DISTANCES = (1, 2, 3, 4, 5)
 FIELD = 32  # bits of a count
 #: Windows that a worker remembers, before it forgets all of them.
-CACHE = 250_000
+CACHE = 150_000
 
 
 @dataclass(frozen=True)
@@ -192,6 +192,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         m = sent.value
+        give_back(False)
         if m.toxic not in _windows and m.weights is not None:
             _windows.clear()
             _windows[m.toxic] = Windows(m)
