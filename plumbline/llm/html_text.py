@@ -3,8 +3,10 @@
 A page is cut into blocks, each inside an article (or main) element, inside an element that is no main text by its name,
 role or class, or neither. The token streams of all pages of a host, but for their articles, are concatenated, and a
 suffix array over them (prefix doubling) finds runs that distinct pages share. A block that is in no article and not
-known by its element is dropped if such runs cover half of it, or if the page has an article. Blocks of an article stay
-even if other pages have the same ones: pages that quote or copy each other share long passages which are no boilerplate.
+known by its element is dropped if such runs cover half of it, whether the page has an article or not. A block too short
+for a run, beside an article, is also dropped if distinct pages have it; on pages without an article it can be a cell or
+a heading of the main text. Blocks of an article stay even if other pages have the same ones: pages that quote or copy
+each other share long passages which are no boilerplate.
 
 A large host is cut into groups of pages by a hash of the page, so that no group is unbounded; what the pages of a site
 all have is repeated within each group.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -168,6 +171,7 @@ def main_texts(pages: list[str], how: HostRepeats) -> list[str]:
     which = [distinct.setdefault(p, len(distinct)) for p in pages]
     firsts = [which.index(i) for i in range(len(distinct))] if len(distinct) < len(pages) else list(range(len(pages)))
     runs = shared_runs([[t for text, zone in cut[i] if zone != MAIN for t in text.split()] for i in firsts], how)
+    short = Counter(text for i in firsts for text in {text for text, zone in cut[i] if zone != MAIN and len(text.split()) < how.run})
     out = []
     for i, found in enumerate(cut):
         hit, at, kept = runs[which[i]], 0, []
@@ -177,9 +181,9 @@ def main_texts(pages: list[str], how: HostRepeats) -> list[str]:
                 kept.append(text)
                 continue
             n = len(text.split())
-            repeated = hit[at : at + n].sum() >= how.covered * n
+            repeated = hit[at : at + n].sum() >= how.covered * n or has_main and n < how.run and short[text] >= how.pages
             at += n
-            if zone == OPEN and not has_main and not repeated:
+            if zone == OPEN and not repeated:
                 kept.append(text)
         out.append("\n".join(kept))
     return out

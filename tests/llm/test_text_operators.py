@@ -158,3 +158,8 @@ def test_html(spark):
     assert split[0] == split[1] and len(split[0]) == len(got)
     assert got[0] == found[0] and got[99] == "" and len(got) == len(pages) + 1
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_html_repeats_beside_articles():
+    pages = [f"<div>Home news sport about us contact</div><article><p>story {i}</p></article><div>written by a{i} b{i} c{i} d{i}</div>" for i in range(3)]
+    assert html_text.main_texts(pages, html_text.HostRepeats()) == [f"story {i}\nwritten by a{i} b{i} c{i} d{i}" for i in range(3)]
