@@ -12,7 +12,8 @@ A large host is cut into groups of pages by a hash of the page, so that no group
 all have is repeated within each group.
 
 Null and empty pages have an empty text. Pages without a host (or without a URL) are a host. Malformed markup is read as
-far as it goes: unclosed elements end with their parent, a script ends at its end tag only. Repeated rows each have
+far as it goes: unclosed elements end with their parent, a script ends at its end tag only, a quoted value of any length
+ends at its quote. Repeated rows each have
 their result, and don't count as distinct pages. An empty table gives an empty result. Columns of the input stay.
 """
 
@@ -47,7 +48,9 @@ BLOCKS = set(
     "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>|<[!?][^>]*>", re.S)
+#: A comment, a tag or a declaration. A value's quote, which stands after "=" only, is looked for to the end of the page; a
+#: quote that is never closed is a character as any other. Repeats are possessive: each is read once.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[a-z]+")
 

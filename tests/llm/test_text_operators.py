@@ -163,3 +163,11 @@ def test_html(spark):
 def test_html_repeats_beside_articles():
     pages = [f"<div>Home news sport about us contact</div><article><p>story {i}</p></article><div>written by a{i} b{i} c{i} d{i}</div>" for i in range(3)]
     assert html_text.main_texts(pages, html_text.HostRepeats()) == [f"story {i}\nwritten by a{i} b{i} c{i} d{i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("n", [10, 4001, 300_000])
+def test_html_long_attributes(n):
+    value = "a > b </div><article>" + "x" * n
+    page = f"<div data-props='{value}' id=x>one</div><p title = \"{value}\">two</p><p 5\" wide>three</p><p title=\"open>four</p><p>five</p>"
+    assert html_text.blocks(page) == [(t, html_text.OPEN) for t in ("one", "two", "three", "four", "five")]
+    assert html_text.blocks("<p " + "'=\"" * n + ">x") == [("x", html_text.OPEN)]
