@@ -8,8 +8,11 @@ for a run, beside an article, is also dropped if distinct pages have it; on page
 a heading of the main text. Blocks of an article stay even if other pages have the same ones: pages that quote or copy
 each other share long passages which are no boilerplate.
 
-A large host is cut into groups of pages by a hash of the page, so that no group is unbounded; what the pages of a site
-all have is repeated within each group.
+A large host is cut into groups of pages by a hash of the page, so that no group is unbounded. Each group has its suffix
+array; runs of open blocks that are found again only in other groups come from a count over the host: hashed runs with
+hashes of their pages, of all hosts of several groups that have an open block, are shuffled by run, and those of distinct
+pages are sent to the groups whose blocks they may decide. So results don't depend on the size of a group. Runs and pages
+are told apart there by 64-bit hashes.
 
 Null and empty pages have an empty text. Pages without a host (or without a URL) are a host. Malformed markup is read as
 far as it goes: unclosed elements end with their parent, a script ends at its end tag only, a quoted value of any length
@@ -26,10 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, mix64, small_batches, stored, text_slices
 
 MAIN, ASIDE, OPEN = "main", "aside", "open"
 #: Elements whose content is no text.
@@ -167,14 +172,53 @@ def shared_runs(streams: list[list[str]], how: HostRepeats) -> list[np.ndarray]:
     return [hit[a:b] for a, b in zip(ends - lengths, ends)]
 
 
-def main_texts(pages: list[str], how: HostRepeats) -> list[str]:
-    """Main texts of the pages of a host."""
+def run_hashes(tokens: list[str], k: int, host: str) -> np.ndarray:
+    """Hashes of the host's runs of k tokens, in order; of all tokens, where there are fewer."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+    k = min(k, len(h))
+    n = len(h) - k + 1
+    out = np.full(n, xxhash.xxh3_64_intdigest(host, k), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out = mix64(out + h[j : j + n])
+    return out
+
+
+def page_runs(found: list[tuple[str, str]], k: int, host: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed runs, and short blocks, of a page's stream outside of articles; which of them have a token of an open block."""
+    outside = [(text.split(), zone == OPEN) for text, zone in found if zone != MAIN]
+    tokens = [t for words, _ in outside for t in words]
+    hashes, asks = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    if len(tokens) >= k:
+        opened = np.cumsum([0, *(o for words, o in outside for _ in words)])
+        hashes.append(run_hashes(tokens, k, host))
+        asks.append(opened[k:] > opened[:-k])
+    for words, o in outside:
+        if len(words) < k:
+            hashes.append(run_hashes(words, k, host))
+            asks.append(np.array([o]))
+    runs, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return runs, np.bincount(at, np.concatenate(asks), len(runs)) > 0
+
+
+def main_texts(pages: list[str], how: HostRepeats, known: np.ndarray | None = None, host: str = "") -> list[str]:
+    """Main texts of the pages of a host, or of a group of them; known: hashes of runs that distinct pages of the host share."""
     cut = [blocks(p) for p in pages]
     distinct: dict[str, int] = {}
     which = [distinct.setdefault(p, len(distinct)) for p in pages]
     firsts = [which.index(i) for i in range(len(distinct))] if len(distinct) < len(pages) else list(range(len(pages)))
     runs = shared_runs([[t for text, zone in cut[i] if zone != MAIN for t in text.split()] for i in firsts], how)
     short = Counter(text for i in firsts for text in {text for text, zone in cut[i] if zone != MAIN and len(text.split()) < how.run})
+    if known is not None and len(known):
+        for j, i in enumerate(firsts):
+            outside = [text.split() for text, zone in cut[i] if zone != MAIN]
+            tokens = [t for words in outside for t in words]
+            if len(tokens) >= how.run:
+                for at in np.flatnonzero(np.isin(run_hashes(tokens, how.run, host), known)):
+                    runs[j][at : at + how.run] = True
+            for words in outside:
+                if len(words) < how.run and np.isin(run_hashes(words, how.run, host), known)[0]:
+                    short[" ".join(words)] = how.pages
     out = []
     for i, found in enumerate(cut):
         hit, at, kept = runs[which[i]], 0, []
@@ -196,19 +240,50 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
     """pages without the markup, with the main text."""
     kept = [c for c in pages.columns if c not in (page, out)]
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
-    keyed = pages.select(*kept, F.coalesce(F.col(page), F.lit("")).alias("_html"), host.alias("_host"))
+    keyed = small_batches(pages).select(*kept, F.coalesce(F.col(page), F.lit("")).alias("_html"), host.alias("_host"))
     large = keyed.groupBy(F.col("_host").alias("_h")).agg(F.ceil(F.count("*") / how.group).cast("int").alias("_groups")).where("_groups > 1")
+    large = stored(large, "large-hosts")
     # one row for each host of many pages: broadcast while they are few, so that pages are shuffled once, by group
     few = large.limit(how.broadcast + 1).count() <= how.broadcast
-    keyed = keyed.join(F.broadcast(large) if few else large, F.col("_host") == F.col("_h"), "left")
-    keyed = keyed.withColumn("_group", F.pmod(F.xxhash64("_html"), F.coalesce("_groups", F.lit(1)))).drop("_h", "_groups")
+    near = F.broadcast if few else lambda hosts: hosts
+    group = F.pmod(F.xxhash64("_html"), F.coalesce("_groups", F.lit(1))).alias("_group")
+    split = keyed.select("_host", "_html").join(near(large), F.col("_host") == F.col("_h"))
+
+    @F.arrow_udf("boolean")
+    def has_open(htmls: pa.Array) -> pa.Array:
+        return pa.array([any(zone == OPEN for _, zone in blocks(p.as_py())) for p in htmls], pa.bool_())
+
+    asking = stored(split.where(has_open("_html")).select(F.col("_host").alias("_a")).distinct(), "open-hosts")
+
+    def runs(batches):
+        for batch in batches:
+            for first, htmls in text_slices(batch.column(3), 1 << 20):
+                hosts = batch.column(0).slice(first, len(htmls)).to_pylist()
+                found = [page_runs(blocks(p.decode()), how.run, h) for p, h in zip(htmls, hosts)]
+                at = np.repeat(np.arange(first, first + len(htmls)), [len(r) for r, _ in found])
+                if not len(at):
+                    continue
+                asks = pa.array(np.concatenate([a for _, a in found]))
+                hosts, groups, pages = (batch.column(i).take(pa.array(at)) for i in range(3))
+                run = pa.array(np.concatenate([r for r, _ in found]).view(np.int64))
+                columns = [run, pages, pc.if_else(asks, hosts, pa.scalar(None, pa.string())), pc.if_else(asks, groups, pa.scalar(None, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["_run", "_page", "_h", "_g"])
+
+    asked = split.join(near(asking), F.col("_host") == F.col("_a"), "left_semi").select("_host", group, F.xxhash64("_html").alias("_page"), "_html")
+    asked = asked.mapInArrow(runs, "_run long, _page long, _h string, _g long")
+    asked = asked.groupBy("_run", "_page").agg(F.max(F.when(F.col("_h").isNotNull(), F.struct("_h", "_g"))).alias("_asks"))
+    asked = asked.groupBy("_run").agg(F.count("*").alias("_n"), F.collect_set("_asks").alias("_asks")).where(F.col("_n") >= how.pages)
+    asked = asked.select("_run", F.explode("_asks").alias("_a")).groupBy("_a._h", "_a._g").agg(F.collect_list("_run").alias("_runs"))
+
+    keyed = keyed.join(near(large), F.col("_host") == F.col("_h"), "left").select(*kept, "_html", "_host", group)
     schema = keyed.select(*kept).schema.add(out, "string")
 
-    def extract(table: pa.Table) -> pa.Table:
-        texts = main_texts(table["_html"].to_pylist(), how)
+    def extract(table: pa.Table, runs: pa.Table) -> pa.Table:
+        known = np.array(runs["_runs"][0].as_py(), np.int64).view(np.uint64) if len(runs) else None
+        texts = main_texts(table["_html"].to_pylist(), how, known, table["_host"][0].as_py())
         return table.select(kept).append_column(out, pa.array(texts, pa.string()))
 
-    return keyed.groupBy("_host", "_group").applyInArrow(extract, schema)
+    return keyed.groupBy("_host", "_group").cogroup(asked.groupBy("_h", "_g")).applyInArrow(extract, schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

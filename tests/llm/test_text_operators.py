@@ -171,3 +171,13 @@ def test_html_long_attributes(n):
     page = f"<div data-props='{value}' id=x>one</div><p title = \"{value}\">two</p><p 5\" wide>three</p><p title=\"open>four</p><p>five</p>"
     assert html_text.blocks(page) == [(t, html_text.OPEN) for t in ("one", "two", "three", "four", "five")]
     assert html_text.blocks("<p " + "'=\"" * n + ">x") == [("x", html_text.OPEN)]
+
+
+def test_html_runs_of_other_groups(spark):
+    unique = lambda i: " ".join(f"u{i}{c}" for c in "abcdefgh")
+    pages = [f"<div>notice of section {i // 2} on two pages</div><nav>{'Top' if i % 2 else 'End'}</nav><p>{unique(i)}</p>" for i in range(60)]
+    pages += [f"<div>s{i // 2}</div><article>{unique(i)}</article>" for i in range(60, 80)]
+    df = spark.createDataFrame([(i, "http://h.example.com/", p) for i, p in enumerate(pages)] + [(80, "http://other.example.com/", pages[0])], "page_id long, url string, html string")
+    want = {i: unique(i) for i in range(80)} | {80: "notice of section 0 on two pages\n" + unique(0)}
+    for how in (html_text.HostRepeats(), html_text.HostRepeats(group=2), html_text.HostRepeats(group=2, broadcast=0)):
+        assert {r["page_id"]: r["text"] for r in html_text.main_text(df, how=how).collect()} == want
