@@ -3,14 +3,15 @@
 Tasks gather the hashed words and word pairs of the training texts as sorted blocks, one for each range of hashes, so
 that frequent ones are summed before the shuffle and no range grows with a frequent word. For each range the summed
 counts are quantised to powers of two and a filter is filled: an n-gram of level q is entered with each of the levels 1
-to q. The ranges' filters together are broadcast; a level is read by probing 1, 2, ... until a probe misses. The score
+to q. A level is read by probing 1, 2, ... until a probe misses. The ranges' filters together are broadcast; where they
+are larger than a bound, they stay where they are and are asked: blocks of texts send the hashes that they need to the
+ranges and get the levels back. Both ways read the same bits, and scores don't depend on the bound. The score
 of a word after another is interpolated from the pair's and the word's quantised counts; the weight of pairs is the share
 of the training tokens, of those after a word found more than once, whose pair is found again (the Good-Turing estimate
 of seen mass), and after other words there is none.
 
-The filter and the table of frequent words are broadcast and have a size that parameters bound: where more n-grams
-are found, those of the lowest levels stay out of the filter. Exact counts of the words outside the table come by a
-join, so the base score is exact at every size. Counts are held by 64-bit hashes of the words.
+The table of frequent words is broadcast and has a size that a parameter bounds. Exact counts of the words outside the
+table come by a join, so the base score is exact at every size. Counts are held by 64-bit hashes of the words.
 
 Null and empty texts have one token, the end. Texts are taken whole. Repeated rows each count in training and score
 alike. Without training rows all counts are 0. An empty table gives an empty result. Columns of the input stay,
@@ -19,6 +20,7 @@ but for those that have the name of a result.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,13 +39,14 @@ WORDS, PAIRS = 0, 1
 
 @dataclass(frozen=True)
 class ModelSize:
-    filter_bytes: int = 64 << 20  # of the filter, at most
+    filter_bytes: int = 64 << 20  # of a filter that is broadcast, at most
     table_words: int = 1_500_000  # of the table of frequent words, at most
     table_count: int = 8  # of a word of the table, at least
     bits: int = 8  # of the filter, for each entry
     probes: int = 4
     least_pair: int = 2  # a pair found once says nothing about the next text
     block: int = 1_000_000  # tokens of a block
+    asked: int = 128 << 20  # bytes of hashes that a task looks up, about
 
 
 class WordIds(dict):
@@ -248,6 +251,11 @@ class Model:
     table_counts: np.ndarray
     table_from: int  # level
     weight: float  # of pairs
+    ranges_log2: int
+    filters: DataFrame | None = None  # (range, bits), where they are not broadcast
+
+    def __getstate__(self):
+        return self.__dict__ | {"filters": None}
 
     def word_facts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, exact count (-1: not in the table) and filter level of each."""
@@ -268,10 +276,9 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
     held = stored(ranges(gathered(texts, log2, size).repartition(1 << log2, "range"), size), "lm-counts")
     sums = held.select("tokens", "pair_tokens", "word_hist", "pair_hist").toArrow()  # a row for each range
     hist = {k: np.array(sums[f"{k}_hist"].to_pylist(), np.int64).reshape(-1, LEVELS).sum(0) for k in ("word", "pair")}
-    room = size.filter_bytes * 8 / size.bits
-    word_from = first_level(hist["word"], room / 2, 1, lambda q, first: q)
-    used = sum(int(n) * q for q, n in enumerate(hist["word"]) if q >= word_from)
-    pair_from = first_level(hist["pair"], room - used, int(level(np.array([size.least_pair]))[0]))
+    pair_from = int(level(np.array([size.least_pair]))[0])
+    entries = sum(int(n) * q for q, n in enumerate(hist["word"])) + sum(int(n) * (q - pair_from + 1) for q, n in enumerate(hist["pair"]) if q >= pair_from)
+    fits = entries * size.bits <= size.filter_bytes * 8
     least = int(level(np.array([size.table_count]))[0])
     table_from = first_level(hist["word"], size.table_words, least, lambda q, first: 1)
     bits, probes = size.bits, size.probes
@@ -283,8 +290,8 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
                 p, q = np.frombuffer(row["pairs"], np.uint64), np.frombuffer(row["pair_levels"], np.uint8)
                 lev = level(c)
                 often = lev >= table_from
-                keys = [(h[(lev >= word_from) & (lev >= j)], j) for j in range(1, LEVELS)]
-                keys += [(p[(q >= pair_from) & (q >= j)], j) for j in range(pair_from, LEVELS)]
+                keys = [(h[lev >= j], j) for j in range(1, LEVELS)]
+                keys += [(p[q >= j], j) for j in range(pair_from, LEVELS)]
                 n = max(64, sum(len(x) for x, _ in keys) * bits + 7 & ~7)
                 marks = np.zeros(n, bool)
                 for x, j in keys:
@@ -294,9 +301,15 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
                     {"range": pa.array([row["range"]], pa.int32()), "bits": [np.packbits(marks, bitorder="little").tobytes()], "words": [h[often].tobytes()], "counts": [c[often].tobytes()]}
                 )
 
-    filled = held.mapInArrow(fill, "range int, bits binary, words binary, counts binary").toArrow().sort_by("range")  # bounded, see above
+    filled = held.mapInArrow(fill, "range int, bits binary, words binary, counts binary")
+    filters = None
+    if not fits:
+        filled = stored(filled, "lm-filters")
+        filters = filled.select("range", "bits")
+        filled = filled.withColumn("bits", F.lit(b""))
+    filled = filled.toArrow().sort_by("range")  # bounded, see above
     sizes, offsets, at = np.ones(1 << log2, np.uint64), np.zeros(1 << log2, np.uint64), 8
-    for r, b in zip(filled["range"].to_pylist(), filled["bits"]):
+    for r, b in zip(filled["range"].to_pylist(), filled["bits"] if fits else []):
         sizes[r], offsets[r] = len(b.as_py()) * 8, at
         at += len(b.as_py()) * 8
     joined = np.frombuffer(b"\0" + b"".join(b.as_py() for b in filled["bits"]), np.uint8)
@@ -305,7 +318,7 @@ def trained(spark: SparkSession, texts: DataFrame, size: ModelSize = ModelSize()
     tokens = sum(sums["tokens"].to_pylist())
     after_known = tokens - int(hist["word"][1])  # tokens after a word that isn't found once only
     weight = min(0.95, sum(sums["pair_tokens"].to_pylist()) / (after_known + 2.0))
-    return Model(tokens, int(hist["word"].sum()), Filter(log2, joined, offsets, sizes, probes), pair_from, table, counts, table_from, weight), held
+    return Model(tokens, int(hist["word"].sum()), Filter(log2, joined, offsets, sizes, probes), pair_from, table, counts, table_from, weight, log2, filters), held
 
 
 class Scorer:
@@ -335,10 +348,14 @@ class Scorer:
         c[own], lev[own] = self.count[flat], self.level[flat]
         lev_before = np.append(self.end_level, lev[:-1])
         pair = np.zeros(len(h), np.int64)
-        maybe = np.flatnonzero((lev >= self.m.pair_from) & (lev_before >= self.m.pair_from))  # a pair isn't more frequent than its words
+        maybe = np.flatnonzero(self.maybe(lev, lev_before))
         pair[maybe] = self.m.filter.level(pair_hash(before[maybe], h[maybe]), self.m.pair_from)
         return h, c, lev, lev_before, np.minimum(pair, np.minimum(lev, lev_before)), first
 
+    def maybe(self, lev, lev_before) -> np.ndarray:
+        """Which pairs can be in the filter: a pair isn't more frequent than its words."""
+        return (lev >= self.m.pair_from) & (lev_before >= self.m.pair_from)
+
     def logs(self, lev, lev_before, pair) -> np.ndarray:
         m = self.m
         single = (count_of(lev) + 1) / (m.tokens + m.distinct + 1)
@@ -356,8 +373,84 @@ def scorer(sent) -> Scorer:
     return _scorer[1]
 
 
+def needed(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of the tokens of texts: sorted distinct hashes, places in them of each token and of that before it, sorted distinct
+    pairs, the place of each token's pair, and how many tokens each text has."""
+    parts = []
+    for _, rows in text_slices(texts, 1 << 20):
+        ids = WordIds()
+        flat, counts = tokens_of(rows, ids)
+        h, before, first = with_ends(hashes_of(ids.new)[flat], counts)
+        parts.append((h, before, counts + 1))
+    h, before, counts = (np.concatenate(x) for x in zip(*parts))
+    words, at = np.unique(h, return_inverse=True)
+    pairs, pair_at = np.unique(pair_hash(before, h), return_inverse=True)
+    return words, at, np.searchsorted(words, before), pairs, pair_at, counts
+
+
+def by_ranges(model: Model, rows: DataFrame, size: ModelSize) -> DataFrame:
+    """(_scored, score) of stored rows (_block, _row, _t), those of a block together and in order, by filters that stay in their ranges."""
+    spark, log2 = rows.sparkSession, model.ranges_log2
+    sent = spark.sparkContext.broadcast(model)
+    shares = 1 + 16 * model.tokens // (size.asked << log2)  # tasks of a range
+
+    def ask(batches):
+        block, first, texts = None, 0, []
+
+        def flush():
+            words, _, _, pairs, _, _ = needed(pa.concat_arrays(texts))
+            edges = np.arange(1, 1 << log2, dtype=np.uint64) << np.uint64(64 - log2)
+            cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (words, pairs)]
+            out = [(r, block, first, words[a:b].tobytes(), pairs[c:d].tobytes()) for r, (a, b, c, d) in enumerate(zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])) if b > a or d > c]
+            texts.clear()
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["range", "_block", "_first", "words", "pairs"])
+
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])[: len(blocks)]).tolist()
+            for a, b in zip(starts, [*starts[1:], len(blocks)]):
+                if texts and blocks[a] != block:
+                    yield flush()
+                if not texts:
+                    block, first = int(blocks[a]), batch.column(1)[a].as_py()
+                texts.append(batch.column(2).slice(a, b - a))
+        if texts:
+            yield flush()
+        give_back()
+
+    def answer(filters: pa.Table, asked: pa.Table) -> pa.Table:
+        m = sent.value
+        bits = np.frombuffer(filters["bits"][0].as_py(), np.uint8) if len(filters) else np.zeros(1, np.uint8)
+        one = Filter(0, bits, np.zeros(1, np.uint64), np.array([len(bits) * 8 if len(filters) else 1], np.uint64), m.filter.probes)
+        levels = {k: [one.level(np.frombuffer(x.as_py(), np.uint64), f).astype(np.uint8).tobytes() for x in asked[k]] for k, f in (("words", 1), ("pairs", m.pair_from))}
+        return pa.table({k: pa.array(levels[k], pa.binary()) if k in levels else asked[k] for k in ("range", "_block", "_first", "words", "pairs")})
+
+    asked = rows.select("_block", "_row", "_t").mapInArrow(ask, "range int, _block long, _first long, words binary, pairs binary")
+    asked = asked.withColumn("_share", F.pmod("_block", F.lit(shares)))
+    filters = model.filters.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    answers = filters.groupBy("range", "_share").cogroup(asked.groupBy("range", "_share")).applyInArrow(answer, "range int, _block long, _first long, words binary, pairs binary")
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        s = scorer(sent)
+        texts, answers = texts.sort_by("_row").combine_chunks(), answers.sort_by([("_first", "ascending"), ("range", "ascending")])
+        row, firsts, scores = texts["_row"].to_numpy(), answers["_first"].to_numpy(), []
+        parts = np.unique(firsts)
+        cuts = np.searchsorted(row, parts).tolist()
+        for part, a, b in zip(parts, cuts, [*cuts[1:], len(row)]):
+            _, at, before_at, _, pair_at, counts = needed(pa.concat_arrays(texts["_t"].slice(a, b - a).chunks))
+            own = answers.filter(pa.array(firsts == part))
+            words, pairs = (np.frombuffer(b"".join(x.as_py() for x in own[k]), np.uint8).astype(np.int64) for k in ("words", "pairs"))
+            lev, before = words[at], words[before_at]
+            pair = np.where(s.maybe(lev, before), np.minimum(pairs[pair_at], np.minimum(lev, before)), 0)
+            scores.append(np.bincount(np.repeat(np.arange(b - a), counts), s.logs(lev, before, pair), b - a))
+        return pa.table({"_scored": texts["_row"], "score": np.concatenate(scores)})
+
+    return rows.select("_block", "_row", "_t").groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, "_scored long, score double")
+
+
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-SCORED = "n_tokens long, n_words_known long, log_known double, score double, rest array<long>"
+SCORED = "n_tokens long, n_words_known long, log_known double, score double, block long, rest array<long>"
 
 
 def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSize = ModelSize()) -> DataFrame:
@@ -372,6 +465,7 @@ def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSiz
     @F.arrow_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     def score(texts: pa.Array) -> pa.Array:
         s, parts = scorer(sent), []
+        block = uuid.uuid4().int >> 66  # rows that are sent together
         for _, rows in text_slices(texts, 1 << 20):
             h, c, lev, before, pair, first = s.read(rows)
             n = np.diff(np.append(first, len(h)))
@@ -386,15 +480,17 @@ def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSiz
                         pa.array(np.bincount(of[known], minlength=len(rows))),
                         pa.array(np.bincount(of, np.where(known, np.log10(np.maximum(c, 0) + 1.0), 0.0), len(rows))),
                         pa.array(np.bincount(of, s.logs(lev, before, pair), len(rows))),
+                        pa.array(np.full(len(rows), block)),
                         pa.ListArray.from_arrays(pa.array(rests, pa.int32()), pa.array(h[rest].view(np.int64))),
                     ],
-                    ["n_tokens", "n_words_known", "log_known", "score", "rest"],
+                    ["n_tokens", "n_words_known", "log_known", "score", "block", "rest"],
                 )
             )
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
 
-    out = docs.select(*kept, score(raw).alias("_s"), F.monotonically_increasing_id().alias("_row"))
-    out = stored(out.select(*kept, "_row", "_s.*"), "lm-scores")
+    out = docs.select(*kept, score(raw).alias("_s"), F.monotonically_increasing_id().alias("_row"), *([] if model.filters is None else [raw]))
+    whole = model.filters is None
+    out = rows = stored(out.select(*kept, "_row", "_s.*", *([] if whole else ["_t"])), "lm-scores")
     table_from = model.table_from
 
     def rare(batches):
@@ -408,6 +504,9 @@ def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSiz
     rest = out.select("_row", F.explode("rest").alias("_g")).join(tail, F.col("_g") == F.col("_h"))
     rest = rest.groupBy(F.col("_row").alias("_r")).agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("_c") + 1.0)).alias("_log"))
     out = out.join(rest, F.col("_row") == F.col("_r"), "left")
+    if not whole:
+        scores = by_ranges(model, rows.select(F.col("block").alias("_block"), "_row", "_t"), size)
+        out = out.drop("score").join(scores, F.col("_row") == F.col("_scored"))
     total, distinct = model.tokens, model.distinct
     base = F.col("log_known") + F.coalesce("_log", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select(

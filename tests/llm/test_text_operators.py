@@ -181,3 +181,12 @@ def test_html_runs_of_other_groups(spark):
     want = {i: unique(i) for i in range(80)} | {80: "notice of section 0 on two pages\n" + unique(0)}
     for how in (html_text.HostRepeats(), html_text.HostRepeats(group=2), html_text.HostRepeats(group=2, broadcast=0)):
         assert {r["page_id"]: r["text"] for r in html_text.main_text(df, how=how).collect()} == want
+
+
+def test_scores_do_not_depend_on_the_filter_bound(spark):
+    texts = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:150] + ["", "one"]
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string").repartition(3)
+    sizes = [lm_score.ModelSize(filter_bytes=b, asked=a) for b, a in ((64 << 20, 128 << 20), (4096, 128 << 20), (4096, 20_000))]
+    found = [{r["doc_id"]: r["score"] for r in lm_score.lm_scores(df, lm_score.remainder("doc_id", 7) != 2, size=s).collect()} for s in sizes]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys() and all(abs(other[i] - found[0][i]) < 1e-9 * abs(found[0][i]) for i in other)
