@@ -75,7 +75,8 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, how: Repeats) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of joined texts that end there."""
+    """Positions and hashes of the anchors of joined texts that end there. Anchors are the least of many, so their hashes are
+    mixed anew: leading bits, which choose ranges and bits, are spread evenly."""
     if len(data) < how.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data, how.gram)
@@ -91,7 +92,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, how: Repeats) -> tuple[np.ndarra
     padded = np.concatenate([np.zeros(w, np.uint32), least, np.zeros(w, np.uint32)])
     most = sliding(padded, how.window, np.maximum)[: len(order)]
     at = np.flatnonzero(most == order)
-    return at, h[at]
+    return at, mix64(h[at])
 
 
 def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -186,3 +187,11 @@ def test_pipeline(spark):
 
 def docs_schema() -> str:
     return "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_anchors_fill_ranges_evenly():
+    pick = random.Random(4)
+    data = np.frombuffer(bytes(pick.choices(range(97, 123), k=400_000)), np.uint8)
+    _, h = suffix_dedup.anchors(data, np.array([len(data)]), suffix_dedup.Repeats())
+    shares = np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=32) / len(h)
+    assert len(h) > 2000 and shares.min() > 0.01 and shares.max() < 0.06
