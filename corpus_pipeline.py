@@ -25,9 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least id; one row of rows with one id."""
+    """One document of each group of near duplicates, by shingles of five words: that of the least id; one row of rows with
+    one id."""
     docs = docs.select(*COLUMNS)
-    found = near_dups.near_duplicates(docs)
+    found = near_dups.near_duplicates(docs, how=near_dups.Sketching(shingle=5))
     kept = found.where("kept AND id IS NOT NULL").select(F.col("id").alias("_id")).distinct()
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source")))
     named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1")

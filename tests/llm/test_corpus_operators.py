@@ -195,3 +195,10 @@ def test_anchors_fill_ranges_evenly():
     _, h = suffix_dedup.anchors(data, np.array([len(data)]), suffix_dedup.Repeats())
     shares = np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=32) / len(h)
     assert len(h) > 2000 and shares.min() > 0.01 and shares.max() < 0.06
+
+
+def test_stage_compares_five_words(spark):
+    words = [f"w{i}" for i in range(90)]
+    other = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 0.83 by four words, 0.79 by five
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate([words, other, [*words[:89], "y"]])], docs_schema())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1]
