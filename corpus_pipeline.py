@@ -25,14 +25,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words: that of the least id; one row of rows with
-    one id."""
+    """One row of each group of near duplicates, by shingles of five words: that of the least id. Of equal rows with an id
+    one stays; rows that share an id but differ are compared as any others, and rows without an id stay."""
     docs = docs.select(*COLUMNS)
-    found = near_dups.near_duplicates(docs, how=near_dups.Sketching(shingle=5))
-    kept = found.where("kept AND id IS NOT NULL").select(F.col("id").alias("_id")).distinct()
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source")))
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    order = [F.col("doc_id"), F.col("_hash")]
+    first = F.row_number().over(W.partitionBy(*order).orderBy(*order))
+    named = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64(*COLUMNS)).repartitionByRange(*order)
+    # a key of each row, in the order of ids: partitions are ranges of ids, sorted for the window
+    rows = named.withColumn("_first", first).where("_first = 1").withColumn("_key", F.monotonically_increasing_id())
+    rows = stored(rows.select("_key", *COLUMNS), "rows")
+    found = near_dups.near_duplicates(rows, key="_key", how=near_dups.Sketching(shingle=5))
+    kept = found.where("kept").select(F.col("id").alias("_id"))
+    return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,3 +202,12 @@ def test_stage_compares_five_words(spark):
     other = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 0.83 by four words, 0.79 by five
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate([words, other, [*words[:89], "y"]])], docs_schema())
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1]
+
+
+def test_rows_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(90)]
+    unique = {i: " ".join(f"u{i}x{j}" for j in range(40)) for i in range(2, 12)}
+    rows = [(1, " ".join(words))] + [(i, " ".join([*words[:89], f"y{i}"])) for i in unique] + 2 * [*unique.items()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs_schema()).repartition(5)
+    found = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert found == [(1, " ".join(words)), *sorted(unique.items())]
