@@ -15,6 +15,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import byte_bpe, html_text, lm_score, quality, token_count, toxicity
@@ -94,23 +95,78 @@ def test_quality(spark):
     assert all(kept[i] for i in range(80)) and not any(kept[i] for i in range(80, 88))
 
 
+def toxic_texts(n: int, seed: int) -> list[tuple[str, int]]:
+    """Texts of random words; every fourth says some words that others never say."""
+    pick = random.Random(seed)
+    sound = lambda: "".join(pick.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]) for _ in range(pick.randint(1, 4)))
+    out = []
+    for i in range(n):
+        words = [sound() for _ in range(pick.randint(40, 200))]
+        for _ in range(3 if i % 4 == 0 else 0):
+            words[pick.randrange(len(words))] = pick.choice(["wretchling", "foulmouth", "clod", "nitwit"])
+        out.append((" ".join(words), int(i % 4 == 0)))
+    return out
+
+
 def test_toxicity(spark):
-    pick = random.Random(4)
-    plain = ["the", "and", "house", "water", "tree", "reading", "window", "garden", "river", "stone"]
-    texts = {i: " ".join(pick.choice(plain) for _ in range(60)) for i in range(400)}
-    for i in range(0, 400, 4):
-        texts[i] = " ".join(pick.choice([*plain, "wretchling", "foulmouth"]) for _ in range(60))
-    docs = spark.createDataFrame([*texts.items(), (400, ""), (401, None), (0, texts[0])], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)] + [(9999, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
-    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    made = toxic_texts(1200, 4)
+    texts = {i: t for i, (t, _) in enumerate(made)}
+    docs = spark.createDataFrame([*texts.items(), (1200, ""), (1201, None), (0, texts[0]), (1202, "x" * 3_000_000), (1203, texts[0] * 3000)], "doc_id long, text string").withColumns({"score": F.lit("z"), "_k": F.lit(1), "_t": F.lit(1)})
+    labels = spark.createDataFrame([(i, y, 1) for i, (_, y) in enumerate(made)] + [(9999, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
+    out = toxicity.toxicity(docs, labels)
+    found = {r["doc_id"]: r for r in out.collect()}
+    held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum(found[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
-    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[400]["score"] == found[401]["score"] and found[400]["predicted"] == 0
+    assert all(0 <= r["score"] <= 1 for r in found.values()) and found[1200]["score"] == found[1201]["score"] and found[1200]["predicted"] == 0
+    assert found[1202]["predicted"] == 0 and found[1203]["predicted"] == 1 and {"_k", "_t"} <= set(out.columns)
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_windows():
+    how = toxicity.Training()
+    pick = random.Random(9)
+    for n in (0, 1, 3, 30, 400):
+        words = [bytes(pick.choices(b"abc", k=pick.randint(1, 50))) for _ in range(n)]
+        piece = toxicity.normal(b"\n ".join(words))
+        found = toxicity.windows(piece, how)
+        assert all(w.startswith(b" ") and w.endswith(b" ") and w in piece for w in found)
+        assert b"".join(words) == b"" or (found[0] == piece[: len(found[0])] and found[-1] == piece[-len(found[-1]) :])
+        covered = {w for f in found for w in f.split()}
+        assert covered == set(words)  # no word is left out
+    long = b"word " * 500_000
+    assert b" ".join(x.strip() for x in toxicity.pieces(long)) == long.strip()
+
+
+def test_toxicity_distance():
+    """The distance is that of the lengths that the library gives with either dictionary."""
+    model = toxicity.fit([(t.encode(), y) for t, y in toxic_texts(800, 6)], toxicity.Training())
+    distances = toxicity.Distances(model)
+    found = [b" theronan wretchling edndha aten there ", b" theronan erthanre edndha aten there "]
+    lengths = []
+    for held in (model.ordinary, model.ordinary + model.toxic):
+        c = toxicity.compressor(held, model.how)
+        lengths.append([len(c.compress(w)) for w in found])
+    assert distances.of(found).tolist() == [a - b for a, b in zip(*lengths)]
+    assert distances.of(found)[0] > distances.of(found)[1]
+    assert b"wretchling" in model.toxic and b"wretchling" not in model.ordinary
+
+
+def test_toxicity_held_out():
+    """2990 labelled rows of sf0.1 learnt from, 990 held out: 0.96 under the curve, precision 0.70, recall 0.84 when written."""
+    sf = SF.replace("0.001", "0.1")
+    held = pd.read_parquet(f"{sf}/documents.parquet").merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    out = held.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)
+    model = toxicity.fit([(t.encode(), int(y)) for t, y in zip(held.text[~out], held.toxic[~out])], toxicity.Training())
+    score = toxicity.scores([t.encode() for t in held.text[out]], model, toxicity.distances_of(model))
+    y = held.toxic[out].to_numpy()
+    ranks = pd.Series(score).rank().to_numpy()
+    under = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    said = score >= model.how.threshold
+    assert under > 0.94 and y[said].mean() > 0.6 and said[y == 1].mean() > 0.75
+
+
 @pytest.mark.parametrize("size", [lm_score.ModelSize(), lm_score.ModelSize(table_count=1, table_words=20, filter_bytes=4096)])
 def test_language_model(spark, size):
     texts = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:60] + ["", " \n", "A a Ä ä\x0bA", "one"]
