@@ -141,7 +141,9 @@ def test_toxicity_windows():
 
 def test_toxicity_distance():
     """The distance is that of the lengths that the library gives with either dictionary."""
-    model = toxicity.fit([(t.encode(), y) for t, y in toxic_texts(800, 6)], toxicity.Training())
+    made = toxic_texts(800, 6)
+    random.Random(1).shuffle(made)
+    model = toxicity.fit([(t.encode(), y) for t, y in made], toxicity.Training())
     distances = toxicity.Distances(model)
     found = [b" theronan wretchling edndha aten there ", b" theronan erthanre edndha aten there "]
     lengths = []
