@@ -147,17 +147,17 @@ def agg_self_join(spark, sf):
     return out.select("o_orderkey", "o_totalprice", "n", "most")
 
 
+STRATEGIES = ("merge", "broadcast", "shuffle_hash", "shuffle_replicate_nl")
 _ONE = "SELECT n_name AS nation, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1"
 
 
-@query(" UNION ALL ".join(f"SELECT '{h}' AS strategy, * FROM ({_ONE})" for h in ("merge", "broadcast", "shuffle_hash", "default")))
+@query(" UNION ALL ".join(f"SELECT '{h}' AS strategy, * FROM ({_ONE})" for h in STRATEGIES))
 def join_strategies(spark, sf):
-    """One equi join under each hint; the broadcast one is of a table of 25 rows."""
+    """One equi join under each strategy that can be asked for; the broadcast and the cartesian one are with a table of 25 rows."""
     suppliers, nation = table(spark, sf, "supplier"), table(spark, sf, "nation")
     out = None
-    for hint in ("merge", "broadcast", "shuffle_hash", "default"):
-        right = nation if hint == "default" else nation.hint(hint)
-        part = suppliers.join(right, F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("n"))
+    for hint in STRATEGIES:
+        part = suppliers.join(nation.hint(hint), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("n"))
         part = part.select(F.lit(hint).alias("strategy"), "nation", "n")
         out = part if out is None else out.union(part)
     return out

@@ -4,6 +4,7 @@ they are numbered by first appearance."""
 from __future__ import annotations
 
 import ipaddress
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,57 @@ def _candidates(text: Column) -> Column:
     )
 
 
+def masked_documents(df: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """df with every text inside the JSON document of a column masked, whatever its depth; keys, numbers and the order of
+    elements stay. A document that can't be read is masked as one text, a null stays. Also the table of pseudonyms.
+
+    key: a column that orders rows and tells them apart. Texts are taken apart by place, masked as rows, and put back."""
+    parts = df.select(F.col(key).alias("_doc"), F.explode(F.from_json(_taken_apart(F.col(column)), "array<struct<at:int,text:string>>")).alias("_p")).select("_doc", "_p.at", "_p.text")
+    swapped, names = masked(parts, ["_doc", "at"], ["text"])
+    each = swapped.groupBy("_doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("_texts"))
+    out = df.join(each, df[key].eqNullSafe(F.col("_doc")), "left")
+    return out.withColumn(column, _put_together(F.col(column), F.coalesce("_texts", F.array().cast("array<string>")))).select(*df.columns), names
+
+
+def _texts_of(value, change):
+    """The value with each text in it, but for keys, as change says."""
+    if isinstance(value, str):
+        return change(value)
+    if isinstance(value, list):
+        return [_texts_of(x, change) for x in value]
+    return {k: _texts_of(x, change) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def _document(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+@F.arrow_udf(T.StringType())
+def _taken_apart(documents: pa.Array) -> pa.Array:
+    out = []
+    for held in documents.to_pylist():
+        found: list[str] = []
+        if held is not None:
+            _texts_of(_document(held), found.append)
+        out.append(json.dumps([{"at": i, "text": t} for i, t in enumerate(found)]))
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _put_together(documents: pa.Array, texts: pa.Array) -> pa.Array:
+    out = []
+    for held, by in zip(documents.to_pylist(), texts.to_pylist()):
+        if held is not None:
+            rest, value = iter(by), _document(held)
+            new = _texts_of(value, lambda _: next(rest))
+            held = new if value is held else json.dumps(new, ensure_ascii=False)
+        out.append(held)
+    return pa.array(out, pa.string())
+
+
 def masked(df: DataFrame, seq: list[str], texts: list[str], hosts: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """df with its texts and host columns masked, and the table of pseudonyms.
 

@@ -50,6 +50,14 @@ def human_duration(seconds: Column) -> Column:
     return F.when(seconds < 60, F.format_string("%.1f s", seconds)).otherwise(long)
 
 
+def human_bytes(size: Column) -> Column:
+    """Bytes below 1024, else with one digit in the largest unit that leaves 1 or more, up to TB."""
+    out = F.format_string("%d B", size.cast("long"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size.cast("double") / F.lit(float(1024**power)))).otherwise(out)
+    return out
+
+
 def tolerant_equal(a: Column, b: Column) -> Column:
     """Equal as numbers if both are numbers, else equal as trimmed text."""
     return F.coalesce(a.try_cast("double") == b.try_cast("double"), F.trim(a) == F.trim(b), F.lit(False))

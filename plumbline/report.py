@@ -8,6 +8,8 @@ import re
 from collections.abc import Callable
 from dataclasses import asdict
 from datetime import datetime
+from importlib import resources
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,13 +165,26 @@ def fitted(run: Run, document: dict, prompt: str, limit: int | None, extras: dic
     last = None
     for profile in config.PROFILES:
         base = summary(run, document, profile)
-        for kept in (extras, {k: explain.without_nodes(v) if k == "plan" else v for k, v in extras.items()}, {}):
+        for kept in smaller(extras):
             last = {**base, **kept}
             if limit is None or tokens(message(prompt, last)) <= limit:
                 return last, profile.name
     return last, config.PROFILES[-1].name
 
 
+def smaller(extras: dict) -> list[dict]:
+    """The extras of a summary, and less of them by steps: without the plan's nodes, the script's lines but those that
+    the log names, the whole script, everything."""
+    steps = [extras]
+    if "plan" in extras:
+        steps.append(steps[-1] | {"plan": explain.without_nodes(extras["plan"])})
+    if "script" in extras:
+        cited = {str(r["line"]) for r in extras["script"].get("log", [])}
+        steps.append(steps[-1] | {"script": extras["script"] | {"lines": {n: x for n, x in extras["script"].get("lines", {}).items() if n in cited}}})
+        steps.append({k: v for k, v in steps[-1].items() if k != "script"})
+    return [*steps, {}]
+
+
 def plan_block(spark: SparkSession, run: Run, document: dict, log_id: str, output: str, source: str | None = None) -> dict:
     """Plans, signals, links, phases and candidates of one run, from its output and its script."""
     held = spark.createDataFrame([(log_id, output)], "source string, text string")
@@ -265,10 +280,23 @@ def prompt_version(chosen: str | None, with_plan: bool, with_script: bool) -> st
     return chosen or ("plan" if with_plan else "script" if with_script else "log")
 
 
-def prompt_text(path: str) -> str:
+PROMPTS = resources.files("plumbline") / "prompts"
+
+
+def prompt_template(name: str, folder: str | None = None) -> str:
+    """A template by its name, whatever its case, with or without the ending: from a folder, or of those that come with
+    the package; else the file of that path."""
+    held = Path(folder) if folder else PROMPTS
+    by_name = {p.name.lower(): p for p in held.iterdir()}
+    found = by_name.get(name.lower()) or by_name.get(f"{name.lower()}.md")
+    if found is None and not Path(name).is_file():
+        raise FileNotFoundError(f"no prompt {name} in {held}; there are {', '.join(sorted(by_name))}")
+    return (found or Path(name)).read_text(encoding="utf-8")
+
+
+def prompt_text(name: str, folder: str | None = None) -> str:
     """A prompt's template without its leading comment, and with the shape of an answer where it asks for one."""
-    with open(path, encoding="utf-8") as f:
-        text = re.sub(r"\A\s*<!--.*?-->\s*", "", f.read(), flags=re.S)
+    text = re.sub(r"\A\s*<!--.*?-->\s*", "", prompt_template(name, folder), flags=re.S)
     return text.replace("{schema}", json.dumps(answer_schema(), separators=(",", ":")))
 
 
@@ -279,6 +307,23 @@ def answer_schema() -> dict:
     return StructType.fromDDL(review.ANSWER).jsonValue()
 
 
+def contract_gaps(text: str) -> list[str]:
+    """Duties that a prompt doesn't state: what the checks of an answer rely on must have been asked for."""
+    return [duty for duty, words in CONTRACT.items() if not re.search(words, text, re.I | re.S)]
+
+
+#: Duties of every prompt, and the words by which one is known to state them.
+CONTRACT = {
+    "evidence has a path and a value": r"\bpaths?\b.*\bvalues?\b",
+    "hypotheses are worded as such": r"\bhypothes[ie]s\b",
+    "no thresholds are made up": r"thresholds?",
+    "INFO alone is no bottleneck": r"\bINFO\b.*no bottleneck",
+    "priorities follow severities": r"\bHIGH\b.*\bMEDIUM\b",
+    "classes are named": r"inconclusive.*failed.*degraded.*healthy",
+    "the answer's shape is given": r"\{schema\}|bottlenecks",
+}
+
+
 def replayed(path: str) -> Callable[[str], str]:
     """A provider that answers from a file."""
 
@@ -301,8 +346,8 @@ def asked(provider: Callable[[str], str], text: str, tries: int = 2) -> tuple[di
     raise ValueError(wrong)
 
 
-def stored_answer(answer: dict, text: str) -> dict:
-    return {"answer": answer, "message_sha256": hashlib.sha256(text.encode()).hexdigest()}
+def stored_answer(answer: dict, text: str, model: str | None = None) -> dict:
+    return {"answer": answer, "model": model, "message_sha256": hashlib.sha256(text.encode()).hexdigest()}
 
 
 def fresh(stored: dict, text: str) -> bool:
@@ -338,10 +383,11 @@ def console(document: dict) -> str:
     return "\n".join([head, f"checks: {verdict.get('errors')} errors, {verdict.get('warnings')} warnings, {verdict.get('infos')} infos", *(f"{f['id']} {f['severity']} {f['title']}" for f in document["findings"])])
 
 
-def analysed(spark: SparkSession, path: str, output: str | None = None, source: str | None = None) -> dict:
-    """The report of one log file, with the blocks of its plan and script where they are given."""
-    lines = logs.raw_lines(spark, path)
-    run = Run(lines)
+def analysed(spark: SparkSession, path: str, output: str | None = None, source: str | None = None, script_mode: str = "excerpt", name: str = "script.py") -> tuple[Run, dict]:
+    """The run and the report of one log file, with the blocks of its plan and script where they are given.
+
+    script_mode: the whole script, an excerpt around what the log names, or none of its lines."""
+    run = Run(logs.raw_lines(spark, path))
     digest = logs.digests(spark, path).first()
     log_id = (run.reading.select("log_id").first() or [path])[0]
     document = report(run, log_id, metadata(digest["sha256"], digest["bytes"], run.thresholds, run.weights))
@@ -349,5 +395,7 @@ def analysed(spark: SparkSession, path: str, output: str | None = None, source:
     if output is not None:
         document["plan"] = plan_block(spark, run, document, log_id, output, source)
     if source is not None:
-        document["script"] = script_block(source, "script.py", run, log_id)
-    return document
+        document["script"] = script_block(source, name, run, log_id, script_mode == "whole")
+        if script_mode == "none":
+            document["script"]["lines"] = {}
+    return run, document

@@ -24,6 +24,12 @@ def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return held.withColumn("_in", inside).join(counts, ["log_id", "_at"]).select("log_id", (F.col("_before") + F.col("_in")).alias("line_no"), "value")
 
 
+def text_of(spark: SparkSession, path: str) -> str:
+    """A file of bounded size as one text, from wherever Spark's readers reach."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    return rows[0]["value"] if rows else ""
+
+
 def lines_of(spark: SparkSession, text: str, log_id: str = "log") -> DataFrame:
     """raw_lines of a text held in memory."""
     rows = [(log_id, i, line) for i, line in enumerate(text.splitlines(), 1)]
