@@ -15,17 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import NUMBER, apart, numbered
 from plumbline.llm.common import documents, word_array
 
 #: Words of a shingle; one of so many hashes is kept.
 SHINGLE, SCALE = 5, 8
-#: Rows of a bucket of neighbours, and the most buckets of each of two levels.
-BUCKET_ROWS, BUCKETS = 4000, 64
+#: Rows of a bucket of neighbours, and the most buckets of each of two levels. Beyond 65 million rows buckets are larger;
+#: a window over one holds a few rows and sorts on disk.
+BUCKET_ROWS, BUCKETS = 4000, 128
 LEAST_ID = -(1 << 63)
 
 
 def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Adds the sorted array of kept hashes of a text column."""
+    df, (text,), back = apart(df, [text])
     held = df.withColumn("_w", F.transform(word_array(F.col(text)), lambda w: F.xxhash64(w)))
     w = F.col("_w")
     n = F.size(w)
@@ -38,7 +41,7 @@ def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, scal
     low = F.lit(-(1 << 63) + (1 << 64) // scale)
     held = held.withColumn("_k", F.sort_array(F.array_distinct(F.filter("_h", lambda h: h < low))))
     kept = F.when((F.size("_k") == 0) & (F.size("_h") > 0), F.array(F.array_min("_h"))).otherwise(F.col("_k"))
-    return held.withColumn(out, kept).drop("_w", "_h", "_k")
+    return back(held, [kept.alias(out)])
 
 
 def as_string(sketch: Column) -> Column:
@@ -64,7 +67,7 @@ def _splits(ids: DataFrame, rows: int) -> list[list[int]]:
     parts = outer * inner
     if parts == 1:
         return [[]]
-    cuts = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 40 * parts)).first()[0] or []
     cuts = [LEAST_ID, *cuts]
     return [cuts[i : i + inner] for i in range(0, len(cuts), inner)]
 
@@ -72,9 +75,13 @@ def _splits(ids: DataFrame, rows: int) -> list[list[int]]:
 def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
     """Adds those columns of the next row by ascending key; the first row's to the last row.
 
-    Rows go to buckets of neighbouring keys, and the first rows of each bucket also to the one before it, as guests;
-    the texts are shuffled once. Null keys come first; rows with one key stand in the order of their hashes."""
-    held = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)))
+    Keys are of any type that has an order. Rows go to buckets of neighbouring keys, and the first rows of each bucket also
+    to the one before it, as guests; the texts are shuffled once. Null keys come first; rows with one key stand in the order of their hashes."""
+    needed = list(dict.fromkeys([key, *columns]))
+    docs, names, back = apart(docs, needed)
+    docs, _ = numbered(docs, names[0])
+    places = [names[needed.index(c)] for c in columns]
+    held = docs.withColumn("_id", F.coalesce(F.col(NUMBER), F.lit(LEAST_ID)))
     ids = held.select("_id")
     splits = _splits(ids, ids.count())
     outer = F.array(*(F.lit(s[0] if s else LEAST_ID).cast("long") for s in splits))
@@ -94,10 +101,10 @@ def with_next(docs: DataFrame, key: str, columns: list[str], prefix: str = "next
     held = bucketed(held).join(F.broadcast(firsts), F.col("_id") == F.col("_first"), "left")
     own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest"))
     held = held.withColumn("_at", F.explode(F.when(F.col("_host").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_host").alias("b"), F.lit(1).alias("guest"))))))
-    held = held.withColumn("_hash", F.xxhash64(*docs.columns)).withColumns({"_b": F.col("_at.b"), "_guest": F.col("_at.guest")})
+    held = held.withColumn("_hash", F.xxhash64(*names)).withColumns({"_b": F.col("_at.b"), "_guest": F.col("_at.guest")})
     row = W.partitionBy("_b").orderBy("_guest", "_id", "_hash")
-    held = held.withColumns({f"{prefix}{c}": F.lead(c).over(row) for c in columns})
-    return held.where("_guest = 0").drop("_id", "_first", "_host", "_wraps", "_bucket", "_at", "_hash", "_b", "_guest")
+    held = held.withColumns({f"_next{i}": F.lead(c).over(row) for i, c in enumerate(places)})
+    return back(held.where("_guest = 0"), [F.col(f"_next{i}").alias(f"{prefix}{c}") for i, c in enumerate(columns)])
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 A page is cut into blocks, each inside an article (or main) element, inside an element that is no main text by its name,
 role or class, or neither. The token streams of all pages of a host, but for their articles, are concatenated, and a
-suffix array over them (prefix doubling) finds runs that distinct pages share. A block that is in no article and not
-known by its element is dropped if such runs cover half of it, whether the page has an article or not. A block too short
-for a run, beside an article, is also dropped if distinct pages have it; on pages without an article it can be a cell or
-a heading of the main text. Blocks of an article stay even if other pages have the same ones: pages that quote or copy
+suffix array over them, with the lengths that neighbours share, gives for each place the longest string that another page
+has too. A block that is in no article and not known by its element is dropped if such strings of `run` tokens or more
+cover half of it, whether the page has an article or not. A block shorter than that, beside an article, is also dropped
+if distinct pages have it; on pages without an article it can be a cell or a heading of the main text. Blocks of an article stay even if other pages have the same ones: pages that quote or copy
 each other share long passages which are no boilerplate.
 
-A large host is cut into groups of pages by a hash of the page, so that no group is unbounded. Each group has its suffix
+A large host is cut into groups of pages by a hash of page and URL, so that no group is unbounded, not even one of copies. Each group has its suffix
 array; runs of open blocks that are found again only in other groups come from a count over the host: hashed runs with
 hashes of their pages, of all hosts of several groups that have an open block, are shuffled by run, and those of distinct
 pages are sent to the groups whose blocks they may decide. So results don't depend on the size of a group. Runs and pages
@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import OTHERS, apart
 from plumbline.llm.common import documents, mix64, small_batches, stored, text_slices
 
 MAIN, ASIDE, OPEN = "main", "aside", "open"
@@ -52,6 +53,8 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Distinct pages that make a string a repeated one.
+PAGES = 2
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A comment, a tag or a declaration. A value's quote, which stands after "=" only, is looked for to the end of the page; a
 #: quote that is never closed is a character as any other. Repeats are possessive: each is read once.
@@ -62,8 +65,7 @@ PART = re.compile(r"[a-z]+")
 
 @dataclass(frozen=True)
 class HostRepeats:
-    run: int = 4  # tokens, a power of two
-    pages: int = 2  # that share a run, at least
+    run: int = 4  # tokens of a repeated string, at least
     covered: float = 0.5  # of a block that is dropped
     group: int = 500  # pages of a suffix array, about
     broadcast: int = 100_000  # hosts of more pages than that whose table is broadcast, at most
@@ -142,34 +144,71 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and how many tokens each shares with the one before it (0 for the first).
+
+    By prefix doubling: ranks by 1, 2, 4, ... tokens until all differ. Ranks of neighbours, from the longest prefixes to the
+    shortest, give the length that they share. The last token must be one of its own."""
+    n = len(tokens)
+    ranks = [np.unique(tokens, return_inverse=True)[1]]
+    have = 1
+    while have < n and ranks[-1].max() < n - 1:
+        r = ranks[-1]
+        after = np.zeros(n, np.int64)
+        after[:-have] = r[have:] + 1
+        ranks.append(np.unique(r * (n + 1) + after, return_inverse=True)[1])
+        have *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1].copy(), order[1:].copy()
+    shared = np.zeros(n, np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        fits = (a < n) & (b < n)
+        same = np.flatnonzero(fits)
+        same = same[ranks[level][a[same]] == ranks[level][b[same]]]
+        shared[same + 1] += 1 << level
+        a[same] += 1 << level
+        b[same] += 1 << level
+    return order, shared
+
+
+def longest_elsewhere(order: np.ndarray, shared: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each place in the order, the longest string that begins there and, at another place, in another page.
+
+    It is shared with the next suffix of another page on either side: the least of what neighbours share on the way."""
+    n = len(order)
+    p = page[order]
+    new = np.append(True, p[1:] != p[:-1])
+
+    def before(shared: np.ndarray, new: np.ndarray) -> np.ndarray:
+        part = np.cumsum(new)  # suffixes of one page that stand together
+        step = np.int64(n + 1)
+        return np.minimum.accumulate(shared - part * step) + part * step
+
+    back = before(shared, new)
+    after = np.append(shared[1:], 0)[::-1]
+    ahead = before(after, np.append(True, (p[1:] != p[:-1])[::-1]))[::-1]
+    return np.maximum(back, ahead)
+
+
 def shared_runs(streams: list[list[str]], how: HostRepeats) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a run that distinct pages share."""
+    """For each page's tokens, which are covered by a string of `run` tokens or more that another page has."""
     lengths = np.array([len(s) for s in streams], np.int64)
     ids: dict[str, int] = {}
-    tokens = np.fromiter((ids.setdefault(t, len(ids)) for s in streams for t in s), np.int64, int(lengths.sum()))
-    n, k = len(tokens), how.run
-    covered = np.zeros(n + k, np.int64)
-    if n >= k:
-        page = np.repeat(np.arange(len(streams)), lengths)
-        rank, have = tokens, 1
-        while have < k:  # ranks of suffixes by twice as many tokens
-            rank = np.unique(rank[:-have] * (int(rank.max()) + 1) + rank[have:], return_inverse=True)[1]
-            have *= 2
-        fits = page[: len(rank)] == page[k - 1 :]  # a run ends in the page in which it begins
-        order = np.lexsort((page[: len(rank)], rank))
-        order = order[fits[order]]
-        if len(order):
-            r, p = rank[order], page[: len(rank)][order]
-            head = np.append(True, r[1:] != r[:-1])
-            other = head | np.append(True, p[1:] != p[:-1])
-            first = np.flatnonzero(head)
-            many = np.add.reduceat(other, first) >= how.pages
-            at = order[np.repeat(many, np.diff(np.append(first, len(r))))]
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + k, -1)
-    hit = np.cumsum(covered)[:n] > 0
-    ends = np.cumsum(lengths)
-    return [hit[a:b] for a, b in zip(ends - lengths, ends)]
+    each = [np.fromiter((ids.setdefault(t, len(ids)) for t in s), np.int64, len(s)) for s in streams]
+    # a token of its own after each page: no string goes over a page's end
+    tokens = np.concatenate([x for i, s in enumerate(each) for x in (s, [len(ids) + i])]) if each else np.zeros(0, np.int64)
+    if not len(ids):
+        return [np.zeros(0, bool) for _ in streams]
+    page = np.repeat(np.arange(len(streams)), lengths + 1)
+    order, shared = suffix_array(tokens)
+    reach = longest_elsewhere(order, shared, page)
+    long = reach >= how.run
+    covered = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(covered, order[long], 1)
+    np.add.at(covered, order[long] + reach[long], -1)
+    hit = np.cumsum(covered)[:-1] > 0
+    ends = np.cumsum(lengths + 1)
+    return [hit[e - 1 - k : e - 1] for e, k in zip(ends.tolist(), lengths.tolist())]
 
 
 def run_hashes(tokens: list[str], k: int, host: str) -> np.ndarray:
@@ -218,7 +257,7 @@ def main_texts(pages: list[str], how: HostRepeats, known: np.ndarray | None = No
                     runs[j][at : at + how.run] = True
             for words in outside:
                 if len(words) < how.run and np.isin(run_hashes(words, how.run, host), known)[0]:
-                    short[" ".join(words)] = how.pages
+                    short[" ".join(words)] = PAGES
     out = []
     for i, found in enumerate(cut):
         hit, at, kept = runs[which[i]], 0, []
@@ -228,7 +267,7 @@ def main_texts(pages: list[str], how: HostRepeats, known: np.ndarray | None = No
                 kept.append(text)
                 continue
             n = len(text.split())
-            repeated = hit[at : at + n].sum() >= how.covered * n or has_main and n < how.run and short[text] >= how.pages
+            repeated = hit[at : at + n].sum() >= how.covered * n or has_main and n < how.run and short[text] >= PAGES
             at += n
             if zone == OPEN and not repeated:
                 kept.append(text)
@@ -238,16 +277,21 @@ def main_texts(pages: list[str], how: HostRepeats, known: np.ndarray | None = No
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text", how: HostRepeats = HostRepeats()) -> DataFrame:
     """pages without the markup, with the main text."""
-    kept = [c for c in pages.columns if c not in (page, out)]
+    own, names, back = apart(pages, [url, page])
+    return back(_main_text(own, *names, how), [F.col("_text").alias(out)], [page])
+
+
+def _main_text(pages: DataFrame, url: str, page: str, how: HostRepeats) -> DataFrame:
+    kept, out = [url, OTHERS], "_text"
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
-    keyed = small_batches(pages).select(*kept, F.coalesce(F.col(page), F.lit("")).alias("_html"), host.alias("_host"))
+    keyed = small_batches(pages).select(*kept, F.coalesce(F.col(page), F.lit("")).alias("_html"), F.col(url).alias("_url"), host.alias("_host"))
     large = keyed.groupBy(F.col("_host").alias("_h")).agg(F.ceil(F.count("*") / how.group).cast("int").alias("_groups")).where("_groups > 1")
     large = stored(large, "large-hosts")
     # one row for each host of many pages: broadcast while they are few, so that pages are shuffled once, by group
     few = large.limit(how.broadcast + 1).count() <= how.broadcast
     near = F.broadcast if few else lambda hosts: hosts
-    group = F.pmod(F.xxhash64("_html"), F.coalesce("_groups", F.lit(1))).alias("_group")
-    split = keyed.select("_host", "_html").join(near(large), F.col("_host") == F.col("_h"))
+    group = F.pmod(F.xxhash64("_html", "_url"), F.coalesce("_groups", F.lit(1))).alias("_group")
+    split = keyed.select("_host", "_html", "_url").join(near(large), F.col("_host") == F.col("_h"))
 
     @F.arrow_udf("boolean")
     def has_open(htmls: pa.Array) -> pa.Array:
@@ -271,8 +315,9 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str =
 
     asked = split.join(near(asking), F.col("_host") == F.col("_a"), "left_semi").select("_host", group, F.xxhash64("_html").alias("_page"), "_html")
     asked = asked.mapInArrow(runs, "_run long, _page long, _h string, _g long")
-    asked = asked.groupBy("_run", "_page").agg(F.max(F.when(F.col("_h").isNotNull(), F.struct("_h", "_g"))).alias("_asks"))
-    asked = asked.groupBy("_run").agg(F.count("*").alias("_n"), F.collect_set("_asks").alias("_asks")).where(F.col("_n") >= how.pages)
+    # a run is repeated if two of its pages differ; its groups are as many as its host has, at most
+    asks = F.collect_set(F.when(F.col("_h").isNotNull(), F.struct("_h", "_g")))
+    asked = asked.groupBy("_run").agg(F.min("_page").alias("_first"), F.max("_page").alias("_last"), asks.alias("_asks")).where("_first <> _last")
     asked = asked.select("_run", F.explode("_asks").alias("_a")).groupBy("_a._h", "_a._g").agg(F.collect_list("_run").alias("_runs"))
 
     keyed = keyed.join(near(large), F.col("_host") == F.col("_h"), "left").select(*kept, "_html", "_host", group)

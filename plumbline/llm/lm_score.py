@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import OTHERS, apart
 from plumbline.llm.common import documents, give_back, mix64, shuffle_partitions, small_batches, stored, text_slices
 from plumbline.llm.toxicity import remainder
 
@@ -455,12 +456,17 @@ SCORED = "n_tokens long, n_words_known long, log_known double, score double, blo
 
 def lm_scores(docs: DataFrame, train: Column, text: str = "text", size: ModelSize = ModelSize()) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score; learnt from rows where train holds."""
-    docs = small_batches(docs)
+    own, names, back = apart(small_batches(docs), [text], _learn=train)
+    return back(_lm_scores(own, names[0], size), RESULTS, [text])
+
+
+def _lm_scores(docs: DataFrame, text: str, size: ModelSize) -> DataFrame:
+    """docs: the text, OTHERS and _learn."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t")
-    model, held = trained(spark, docs.where(train).select(raw), size)
+    model, held = trained(spark, docs.where("_learn").select(raw), size)
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in (text, *RESULTS)]
+    kept = [OTHERS]
 
     @F.arrow_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     def score(texts: pa.Array) -> pa.Array:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import apart
 from plumbline.llm.common import documents, stored, word_array
 
 #: Weights that sources take in turn, by code point of their names.
@@ -85,12 +86,19 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(sized.withColumn("_row", F.monotonically_increasing_id()), "mixing")
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **targets) -> DataFrame:
+    """docs without the text, with size, source_size, target (of its source) and taken: the words that the mix takes of it."""
+    without = [text]
+    own, (key, source, text), back = apart(docs, [key, source, text])
+    sizes = measured(own, text)
+    taken = queue(sizes, source, key, **targets).groupBy("_row").agg(F.sum("size").alias("_taken")).withColumnRenamed("_row", "_r")
+    each = source_targets(sizes, source, **targets).withColumnRenamed(source, "_source").drop("weight")
+    out = sizes.join(taken, F.col("_row") == F.col("_r"), "left").join(each, F.col(source).eqNullSafe(F.col("_source")))
+    return back(out, ["size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")], without)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = measured(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    taken = queue(sizes).groupBy("_row").agg(F.sum("size").alias("_taken")).withColumnRenamed("_row", "_r")
-    each = source_targets(sizes).withColumnRenamed("source", "_source").drop("weight")
-    out = sizes.join(taken, F.col("_row") == F.col("_r"), "left").join(each, F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return mixed(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("source")
 
 
 OP7_SQL = """

@@ -22,9 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import NUMBER, numbered
 from plumbline.llm.common import documents, give_back, mix64, small_batches, stored, text_slices
 from plumbline.llm.graph import components
 from plumbline.llm.lm_score import WordIds, hashes_of, tokens_of
@@ -176,8 +178,8 @@ def sketches(docs: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
 BITMAP = 26  # log2 of the bits by which a scan leaves out most texts that aren't compared
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
-    """(id, s, set) for the wanted (id, s), where s is the first digest of the set."""
+def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, how: Sketching) -> tuple[DataFrame, Broadcast]:
+    """(id, s, set) for the wanted (id, s), where s is the first digest of the set, and the broadcast that it reads."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP))
     bits = wanted.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << BITMAP}) % 64 as int))").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2**20 rows at most
@@ -198,7 +200,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, how: Sket
 
     raw = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).where("id IS NOT NULL")
     found = raw.select("id", place.alias("p"), "t").mapInArrow(sets, "id long, s long, set binary")
-    return found.join(wanted, ["id", "s"], "left_semi").dropDuplicates(["id", "s"])
+    return found.join(wanted, ["id", "s"], "left_semi").dropDuplicates(["id", "s"]), sent
 
 
 class Unions:
@@ -270,13 +272,13 @@ def _settle(xs, ys, es, ids, full, unions: Unions, out: list, how: Sketching) ->
     es.clear()
 
 
-def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
-    """Links (u, v) that connect what links connect. grouped: (id, s1, n, regs, c), where c is a group that no plausible
+def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Sketching) -> tuple[DataFrame, Broadcast]:
+    """Links (u, v) that connect what links connect, and a broadcast that is needed until they have been taken. grouped: (id, s1, n, regs, c), where c is a group that no plausible
     pair leaves. Large groups are cut into blocks, and each pair of blocks is looked at by itself."""
     size = grouped.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1")
     size = size.select("_c", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
     grouped = stored(grouped.join(size, F.col("c") == F.col("_c")), "groups")
-    sets = full_sets(docs, grouped.select("id", F.col("s1").alias("s")), key, text, how)
+    sets, sent = full_sets(docs, grouped.select("id", F.col("s1").alias("s")), key, text, how)
     held = grouped.join(sets.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("s")))
     held = held.withColumn("_own", F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int"))
     held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -311,7 +313,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Ske
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
 
-    return held.mapInArrow(link, "u long, v long")
+    return held.mapInArrow(link, "u long, v long"), sent
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
@@ -366,8 +368,18 @@ def across(buckets: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", how: Sketching = Sketching()) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of docs."""
-    held = stored(sketches(small_batches(docs), key, text, how), "sketches")
+    """(id, n_shingles, component_id, kept) for each row of docs. Ids are of any type that has an order."""
+    docs, keys = numbered(small_batches(docs).select(F.col(key).alias("_key_of"), F.col(text).alias("_text_of")), "_key_of")
+    out = _near_duplicates(docs, NUMBER, "_text_of", how)
+    if keys is None:
+        return out
+    for c in ("id", "component_id"):
+        out = out.join(keys.select(F.col("_key").alias(f"_{c}"), F.col(NUMBER).alias("_n")), F.col(c) == F.col("_n"), "left").drop("_n")
+    return out.select(F.col("_id").alias("id"), "n_shingles", F.col("_component_id").alias("component_id"), "kept")
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, how: Sketching) -> DataFrame:
+    held = stored(sketches(docs, key, text, how), "sketches")
     classes = held.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n")
     reps = stored(classes.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("regs").alias("regs")), "classes")
 
@@ -383,7 +395,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
     if not more.isEmpty():
         over = components(more)
         part = part.join(over, F.col("c") == F.col("u"), "left").withColumn("c", F.coalesce("v", "c"))
-    hung = components(confirmed(docs, part.select("id", "s1", "n", "regs", "c"), key, text, how))
+    links, sent = confirmed(docs, part.select("id", "s1", "n", "regs", "c"), key, text, how)
+    hung = components(links)
+    sent.destroy()
 
     named = reps.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n").alias("_n"), F.col("id").alias("_rep"))
     out = held.select("id", "n", "s1", "s2").join(named, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n")), "left")

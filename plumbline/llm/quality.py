@@ -16,9 +16,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import apart
 from plumbline.llm.common import SPACES, documents, stored, word_array
 
 SYMBOLS = "#*$%&|<>"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "symbol_share", "capital_share", "stutter_share", "word_length")
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,12 @@ def thresholds(measured: DataFrame, groups: tuple[str, ...], rules: QualityRules
 
 def judged(df: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), rules: QualityRules = QualityRules()) -> DataFrame:
     """df with measures, base_failed and kept. Its columns, but for the text, are stored once on the way."""
+    own, names, back = apart(df, [text, *groups])
+    out = _judged(own, names[0], tuple(names[1:]), rules)
+    return back(out, [*MEASURES, "base_failed", "kept"], [text])
+
+
+def _judged(df: DataFrame, text: str, groups: tuple[str, ...], rules: QualityRules) -> DataFrame:
     held = stored(with_measures(df, text, rules).drop(text), "quality")
     fences = thresholds(held, groups, rules).select(*(F.col(c).alias(f"_g{c}") for c in groups), *(F.col(f"{f.measure}_{s}") for f in rules.fences for s in ("low", "high")))
     out = held.join(fences, [held[c].eqNullSafe(fences[f"_g{c}"]) for c in groups], "left")

@@ -25,9 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import apart
 from plumbline.llm.common import documents, give_back, mix64, shuffle_partitions, small_batches, stored, text_slices
 
 
@@ -330,8 +332,9 @@ def reach(cluster: list, how: Repeats) -> list[tuple[int, int]]:
     return out
 
 
-def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes], how: Repeats) -> DataFrame:
-    """(key, spans) of a table (key, binary text): beginnings and ends of matches, in several rows for a key."""
+def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes], how: Repeats) -> tuple[DataFrame, Broadcast]:
+    """(key, spans) of a table (key, binary text): beginnings and ends of matches, in several rows for a key; and a broadcast
+    that is needed until they have been taken."""
     sent = texts.sparkSession.sparkContext.broadcast((bitmap, splitters))
 
     def runs(batches):
@@ -432,7 +435,7 @@ def spans(texts: DataFrame, copies, bitmap: np.ndarray, splitters: list[bytes],
         return out
 
     sorted_runs = texts.mapInArrow(runs, "range int, run binary").repartition(len(splitters) + 1, "range")
-    return sorted_runs.groupBy("range").applyInArrow(merge, f"key long, spans {SPANS}")
+    return sorted_runs.groupBy("range").applyInArrow(merge, f"key long, spans {SPANS}"), sent
 
 
 SPANS = "array<struct<begin:bigint,end:bigint>>"
@@ -462,14 +465,24 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", out: st
     """docs with the sorted, disjoint spans of bytes that go: array<struct<begin,end>>.
 
     rest: a column for the bytes (binary) that are left; characters: of them, parts of UTF-8 characters go too."""
-    docs = small_batches(docs)
+    own, (key, text), back = apart(small_batches(docs), [key, text])
+    found = _with_spans(own, key, text, how, rest is not None, characters)
+    return back(found, [F.col("_gone").alias(out), *([F.col("_kept").alias(rest)] if rest is not None else [])])
+
+
+def _with_spans(docs: DataFrame, key: str, text: str, how: Repeats, with_rest: bool, characters: bool) -> DataFrame:
+    out, rest = "_gone", "_kept" if with_rest else None
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     own = F.xxhash64(F.col(key), F.col(text))
     texts = docs.select(own.alias("key"), raw.alias("text"))
     copies = docs.sparkSession.sparkContext.broadcast(whole_copies(texts, how))
     bitmap, splitters = marked(texts, copies, how)
-    found = spans(texts, copies, bitmap, splitters, how).groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    found, sent = spans(texts, copies, bitmap, splitters, how)
+    found = found.groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     found = stored(found, "spans")  # after the shuffle, which leaves a few files instead of one for each range
+    sent.destroy()
+    del bitmap
+    give_back()
     # texts without a span needn't be shuffled: a bitmap of fixed size tells most of them
     place = F.pmod(F.xxhash64("_found"), F.lit(1 << BITMAP))
     bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_found), {1 << BITMAP}) % 64 as int))").alias("bit"))
