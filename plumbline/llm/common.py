@@ -59,6 +59,13 @@ def give_back(collect: bool = True) -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Frees what the driver doesn't need any more. Broadcasts, shuffles and plans of what is done stay until the JVM
+    collects its garbage, which it puts off for as long as its heap may grow."""
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
