@@ -8,22 +8,41 @@ result.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import byte_bpe, mixing, near_dups, suffix_dedup, toxicity
-from plumbline.llm.common import documents, small_batches, stored
+from plumbline.llm.common import documents, settle, small_batches, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def settled(stage: Stage) -> Stage:
+    """The stage, begun when the driver has freed what the one before it left."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+@settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below the threshold."""
     scored = toxicity.toxicity(small_batches(docs.select(*COLUMNS)), documents(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+@settled
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, by shingles of five words: that of the least id. Of equal rows with an id
     one stays; rows that share an id but differ are compared as any others, and rows without an id stay."""
@@ -39,6 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(kept, F.col("_key") == F.col("_id"), "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
+@settled
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere. A character of which a byte goes, goes."""
     found = suffix_dedup.with_spans(docs.select(*COLUMNS), rest="_rest", characters=True)
@@ -47,6 +67,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@settled
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, those that it takes twice as two rows."""
     docs = docs.select(*COLUMNS).withColumn("_id", F.xxhash64(*COLUMNS))
@@ -56,6 +77,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*COLUMNS)
 
 
+@settled
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document's tokens, and the digest of the text that they decode to."""
     import public_tokenizers
