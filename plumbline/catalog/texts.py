@@ -119,7 +119,7 @@ def mask_secrets(spark, sf):
 
 @query(
     "WITH h AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, min(page_id) AS first_seq FROM pages GROUP BY 1)"
-    " SELECT host, first_seq, 'host_' || lpad(row_number() OVER (ORDER BY first_seq, host)::VARCHAR, 3, '0') AS pseudonym FROM h"
+    " SELECT host, first_seq, 'host_' || lpad(n, greatest(3, length(n))::INT, '0') AS pseudonym FROM (SELECT *, row_number() OVER (ORDER BY first_seq, host)::VARCHAR AS n FROM h)"
 )
 def pseudonym_numbers(spark, sf):
     from plumbline.functions.masking import pseudonyms

@@ -8,11 +8,11 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ARN, OBJECT_PATH
+from plumbline.operators.stats import ranked
 
 # Shapes of candidates. An address is confirmed before it is masked.
 EC2_HOST = r"\bip-(\d{1,3}(?:-\d{1,3}){3})(?:\.[\w-]+)*(?::\d+)?"
@@ -38,8 +38,10 @@ def normalized_ip(candidates: pa.Array) -> pa.Array:
 def pseudonyms(df: DataFrame, key: str, seq: str, prefix: str) -> DataFrame:
     """(kind, raw_key, first_seq, pseudonym) of each key, numbered by first appearance."""
     first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("raw_key")).agg(F.min(seq).alias("first_seq"))
-    n = F.row_number().over(W.orderBy("first_seq", "raw_key"))  # a row for each key
-    return first.select(F.lit(prefix).alias("kind"), "raw_key", "first_seq", F.concat(F.lit(f"{prefix}_"), F.lpad(n.cast("string"), 3, "0")).alias("pseudonym"))
+    first = ranked(first, ["first_seq", "raw_key"], "_n")
+    n = F.col("_n").cast("string")
+    number = F.lpad(n, F.greatest(F.length(n), F.lit(3)), F.lit("0"))
+    return first.select(F.lit(prefix).alias("kind"), "raw_key", "first_seq", F.concat(F.lit(f"{prefix}_"), number).alias("pseudonym"))
 
 
 def host_key(host: Column) -> Column:

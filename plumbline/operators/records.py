@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,23 +69,42 @@ def records(lines: DataFrame) -> DataFrame:
     return out.drop("_head")
 
 
-def event_type(text: Column) -> Column:
-    """The first pattern of the catalogue that the text matches."""
-    out = None
-    for name, pattern, _ in config.EVENTS:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return out
+#: Separates the fields that one pass of a pattern leaves.
+MARK = "\x01"
+EVENT = "struct<kind:string,data:map<string,string>>"
+
+
+def first_words(pattern: str) -> list[str]:
+    """The words with which a text that matches begins: one, or those of the group at the beginning."""
+    found = re.match(r"\^(?:\(([A-Za-z|]+)\)|([A-Za-z]+)) ", pattern)
+    if not found:
+        raise ValueError(f"a pattern has to begin with words: {pattern}")
+    return (found[1] or found[2]).split("|")
+
 
+def fields_of(text: Column, pattern: str, fields: Sequence[str]) -> Column:
+    """Map of the fields of a text that matches, by one pass of the pattern; fields that are empty are left out."""
+    if not fields:
+        return F.create_map().cast("map<string,string>")
+    parts = F.split(F.regexp_replace(text, pattern, "".join(f"${i}{MARK}" for i in range(1, len(fields) + 1))), MARK)
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.slice(parts, 1, len(fields))), lambda _, v: v != "")
 
-def event_data(kind: Column, text: Column) -> Column:
-    """Map of the fields of an event; fields that didn't match are left out."""
-    out = None
+
+def event(text: Column, first: Column) -> Column:
+    """Kind and fields by the first pattern of the catalogue that the text matches; null if there is none.
+
+    first: the text's first word. Only the few patterns that begin with it are tried."""
+    by_word: dict[str, list] = {}
     for name, pattern, fields in config.EVENTS:
-        if fields:
-            pairs = [x for i, f in enumerate(fields, 1) for x in (F.lit(f), F.nullif(F.regexp_extract(text, pattern, i), F.lit("")))]
-            held = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-            out = F.when(kind == name, held) if out is None else out.when(kind == name, held)
-    return F.coalesce(out, F.create_map().cast("map<string,string>"))
+        for word in first_words(pattern):
+            by_word.setdefault(word, []).append((text.rlike(pattern), F.struct(F.lit(name).alias("kind"), fields_of(text, pattern, fields).alias("data"))))
+    out = F
+    for word, tries in by_word.items():
+        one = F
+        for matches, found in tries:
+            one = one.when(matches, found)
+        out = out.when(first == word, one)
+    return out.otherwise(F.lit(None).cast(EVENT))
 
 
 def call_site(action: Column) -> Column:
@@ -103,44 +125,51 @@ def events(recs: DataFrame) -> DataFrame:
     or above. A stack under a lower level becomes an event of its own, after its record's."""
     full = F.concat_ws(" ", F.col("msg"), F.array_join("continuation", " "))
     held = recs.withColumn("_full", F.when(F.size("continuation") > 0, full))
-    held = held.withColumn("_kind_full", event_type(F.col("_full")))
-    held = held.withColumn("_kind", F.coalesce("_kind_full", event_type(F.col("msg"))))
-    held = held.withColumn("_text", F.when(F.col("_kind_full").isNotNull(), F.col("_full")).otherwise(F.col("msg")))
-    held = held.withColumn("_data", event_data(F.col("_kind"), F.col("_text")))
+    word = lambda c: F.substring_index(c, " ", 1)
+    held = held.withColumns({"_first": word("msg"), "_first_full": word("_full")})
+    held = held.withColumns({"_by_full": event(F.col("_full"), F.col("_first_full")), "_by_msg": event(F.col("msg"), F.col("_first"))})
+    held = held.withColumn("_event", F.coalesce("_by_full", "_by_msg"))
+    kind, data = F.col("_event.kind"), F.col("_event.data")
     alert = F.col("level").isin(*config.ALERT_LEVELS)
-    data = F.col("_data")
-    action = F.when(F.col("_kind").isin("job_start", "map_stage_job_start"), normalized_action(data["action"]))
-    rdd = F.when(F.col("_kind") == "stage_tasks_submitted", F.substring(normalized_action(data["rdd_desc"]), 1, config.RDD_CHARS))
+    action = F.when(kind.isin("job_start", "map_stage_job_start"), normalized_action(data["action"]))
+    rdd = F.when(kind == "stage_tasks_submitted", F.substring(normalized_action(data["rdd_desc"]), 1, config.RDD_CHARS))
     fixed = F.map_filter(F.create_map(F.lit("action"), action, F.lit("rdd_desc"), rdd), lambda _, v: v.isNotNull())
-    held = held.withColumn("_data", F.map_concat(F.map_filter(data, lambda k, _: ~F.map_contains_key(fixed, k)), fixed))
-    common = ["log_id", "rec_id", "ts_raw", F.try_to_timestamp(F.nullif("ts_raw", F.lit("")), F.lit(config.TIME_FORMAT)).cast("timestamp_ntz").alias("ts")]
+    fixed = F.when(fixed_kinds(kind), F.map_concat(F.map_filter(data, lambda k, _: ~F.map_contains_key(fixed, k)), fixed)).otherwise(data)
+    site = call_site(action)
     none = F.array().cast("array<string>")
-    main = held.where(F.col("_kind").isNotNull() | alert).select(
-        *common,
-        F.lit(0).alias("_sub"),
+    main = F.struct(
+        F.lit(0).alias("sub"),
         "level",
         "component",
-        F.coalesce("_kind", F.lit(config.UNMATCHED)).alias("event_type"),
-        F.when(F.col("_kind").isNull(), F.create_map(F.lit("msg"), F.col("msg"))).otherwise(F.col("_data")).alias("data"),
-        call_site(action).alias("call_site"),
+        F.coalesce(kind, F.lit(config.UNMATCHED)).alias("event_type"),
+        F.when(kind.isNull(), F.create_map(F.lit("msg"), F.col("msg"))).otherwise(fixed).alias("data"),
+        site.alias("call_site"),
         F.when(alert, F.col("stack")).otherwise(none).alias("stack"),
         F.when(alert, F.col("n_stack")).otherwise(0).alias("n_stack"),
         "n_continuation",
     )
-    own = held.where(~alert & (F.size("stack") > 0)).select(
-        *common,
-        F.lit(1).alias("_sub"),
+    said = F.concat(F.lit("exception without a header, after "), "level", F.lit(" "), "component")
+    own = F.struct(
+        F.lit(1).alias("sub"),
         F.lit("ERROR").alias("level"),
         F.lit("stderr").alias("component"),
         F.lit(config.UNMATCHED).alias("event_type"),
-        F.create_map(F.lit("msg"), F.trim(F.col("stack")[0]), F.lit("origin"), F.concat(F.lit("exception without a header, after "), "level", F.lit(" "), "component")).alias("data"),
-        F.lit(None).cast(main.schema["call_site"].dataType).alias("call_site"),
+        F.create_map(F.lit("msg"), F.trim(F.try_element_at("stack", F.lit(1))), F.lit("origin"), said).alias("data"),
+        F.when(F.lit(False), site).alias("call_site"),
         F.slice("stack", F.lit(2), F.greatest(F.size("stack") - 1, F.lit(0))).alias("stack"),
         (F.col("n_stack") - 1).alias("n_stack"),
         F.lit(0).alias("n_continuation"),
     )
-    out = main.unionByName(own).withColumn("seq", F.col("rec_id") * 2 + F.col("_sub"))
-    return out.drop("rec_id", "_sub")
+    # one pass: a record gives none, one or two events; a filter after it would try all patterns once more
+    each = F.filter(F.array(F.when(kind.isNotNull() | alert, main), F.when(~alert & (F.size("stack") > 0), own)), lambda x: x.isNotNull())
+    ts = F.try_to_timestamp(F.nullif("ts_raw", F.lit("")), F.lit(config.TIME_FORMAT)).cast("timestamp_ntz").alias("ts")
+    out = held.select("log_id", "rec_id", "ts_raw", ts, F.inline(each))
+    return out.withColumn("seq", F.col("rec_id") * 2 + F.col("sub")).drop("rec_id", "sub")
+
+
+def fixed_kinds(kind: Column) -> Column:
+    """Events of which a field is written anew."""
+    return kind.isin("job_start", "map_stage_job_start", "stage_tasks_submitted")
 
 
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.sources.sinks import stored
+
 UP_TO_HERE = (W.unboundedPreceding, 0)
 BEFORE_HERE = (W.unboundedPreceding, -1)
 
@@ -57,6 +59,17 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], ou
     return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with the place of each row in the whole order, from 1, without one task for all rows: rows are sorted by ranges,
+    and each range counts on from those before it. Ranges are stored once, so that both passes see the same."""
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = stored(held, "ranked").withColumns({"_range": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = held.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(*BEFORE_HERE)), F.lit(0))
+    sizes = sizes.select(F.col("_range").alias("_r"), before.alias("_before"))
+    return held.join(sizes, F.col("_range") == F.col("_r")).withColumn(out, F.col("_before") + F.col("_in") + 1).drop("_at", "_range", "_in", "_r", "_before")
+
+
 def positional_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """The k-th row of each key on the left with the k-th on the right, if there is one."""
     keys = [*by, "pos"]

@@ -388,7 +388,7 @@ def analysed(spark: SparkSession, path: str, output: str | None = None, source:
 
     script_mode: the whole script, an excerpt around what the log names, or none of its lines."""
     run = Run(logs.raw_lines(spark, path))
-    digest = logs.digests(spark, path).first()
+    digest = logs.digests(spark, path).first() or {"sha256": hashlib.sha256().hexdigest(), "bytes": 0}  # empty files aren't listed
     log_id = (run.reading.select("log_id").first() or [path])[0]
     document = report(run, log_id, metadata(digest["sha256"], digest["bytes"], run.thresholds, run.weights))
     document["summary"] = summary(run, document)

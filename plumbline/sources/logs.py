@@ -36,9 +36,21 @@ def lines_of(spark: SparkSession, text: str, log_id: str = "log") -> DataFrame:
     return spark.createDataFrame(rows, "log_id string, line_no long, value string")
 
 
-def digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, bytes, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, path: str | list[str], large: int = 1 << 30) -> DataFrame:
+    """(path, bytes, sha256) of files. Files too large for a cell of a table are read as a stream, without being held."""
+    files = spark.read.format("binaryFile").load(path)
+    out = files.where(F.col("length") < large).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rest = [(r["path"], r["length"], streamed_sha256(spark, r["path"])) for r in files.where(F.col("length") >= large).select("path", "length").collect()]
+    return out.union(spark.createDataFrame(rest, "path string, bytes long, sha256 string")) if rest else out
+
+
+def streamed_sha256(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(path)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    out = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(at.getFileSystem(conf).open(at), out, 1 << 20, True)
+    return bytes(digest.digest()).hex()
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:

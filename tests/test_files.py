@@ -124,3 +124,18 @@ def test_node_fields(op, text, want):
     assert explain.operator_of("*(2) " + text) == op
     got = explain.attributes(op, text)
     assert {k: got.get(k) for k in want} == want
+
+
+def test_pseudonyms_of_many(spark):
+    hosts = spark.range(1200).select(F.format_string("h%d.example.com", 1199 - F.col("id")).alias("host"), F.col("id").alias("seq"))
+    names = masking.pseudonyms(hosts.union(hosts), "host", "seq", "host").collect()
+    assert {r["pseudonym"] for r in names} == {f"host_{i:03d}" for i in range(1, 1201)}
+    assert {r["first_seq"]: r["pseudonym"] for r in names}[999] == "host_1000"
+    assert masking.pseudonyms(hosts.limit(0), "host", "seq", "host").count() == 0
+
+
+def test_digest_of_a_stream(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"x" * 3_000_000)
+    (tmp_path / "b.log").write_bytes(b"y")
+    read = lambda large: sorted((r["path"], r["bytes"], r["sha256"]) for r in logs.digests(spark, str(tmp_path), large).collect())
+    assert read(1 << 30) == read(0) == read(1000) and len(read(0)) == 2
