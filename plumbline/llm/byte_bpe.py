@@ -2,8 +2,8 @@
 
 Code points become classes, classes become transition functions of a small automaton, and prefix compositions of
 these functions (composition is associative) give the state before each character, from which the boundaries of the
-pieces follow. Pieces go through a cache of merged pieces. A token's bytes are at a fixed offset of the vocabulary's
-concatenated bytes, from which decoding gathers.
+pieces follow. Pieces go through a cache of merged pieces. With the ids come the offsets at which the tokens begin in the
+text's bytes; decoding copies each token's bytes out of the vocabulary's, which stand one after another, to its offset.
 
 Null and empty texts have no tokens. Texts are taken whole; a long one is cut into several runs of the scan only where
 a run of the automaton starts anew, and pieces are the same as in one run. Repeated rows are encoded alike. Columns of
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import apart
 from plumbline.llm.common import documents, give_back, small_batches
 
 #: Symbols: letter, number, other, apostrophe before s t m d, apostrophe before re ve ll, white space that more white
@@ -35,6 +36,8 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 AT_ONCE, BLOCK = 1 << 20, 64
 #: Pieces that a worker remembers, before it forgets all of them.
 CACHE = 200_000
+#: Tokens that are decoded at once.
+DECODED = 1 << 17
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -152,6 +155,9 @@ class BytePairs:
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.tokens = tokens
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.pieces = Pieces(self)
 
     def merged(self, piece: bytes) -> list[int]:
@@ -197,7 +203,8 @@ class BytePairs:
         return [ranks[x] for x, g in zip(parts, gone) if not g]
 
     def encode_batch(self, texts: list[str]):
-        """(ids as little-endian unsigned 32-bit integers, offsets of the tokens in the UTF-8 text) for each text."""
+        """(ids as little-endian unsigned 32-bit integers, offsets) for each text: where each token begins in the text's
+        bytes, and where the last one ends."""
         held, size = [], 0
         for t in texts:
             if held and size + len(t) > AT_ONCE:
@@ -217,16 +224,26 @@ class BytePairs:
         upto = np.searchsorted(cuts, ends).tolist()
         pieces, at = self.pieces, 0
         for to in upto:
-            yield b"".join([pieces[joined[a:b]] for a, b in zip(edges[at:to], edges[at + 1 : to + 1])])
+            ids = b"".join([pieces[joined[a:b]] for a, b in zip(edges[at:to], edges[at + 1 : to + 1])])
+            yield ids, self.offsets(ids)
             at = to
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
     def offsets(self, ids: bytes) -> np.ndarray:
-        """Where each token begins in the text's bytes."""
-        n = np.array([len(self.tokens[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
-        return np.cumsum(n) - n
+        found = np.frombuffer(ids, "<u4")
+        out = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(self.lengths[found], out=out[1:])
+        return out
+
+    def decode(self, ids: bytes, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of the tokens, each at its offset; offsets are those of encoding, or found anew."""
+        found = np.frombuffer(ids, "<u4")
+        offsets = self.offsets(ids) if offsets is None else offsets
+        out = np.empty(int(offsets[-1]), np.uint8)
+        for i in range(0, len(found), DECODED):
+            part, at = found[i : i + DECODED], offsets[i : i + DECODED + 1]
+            own = np.repeat(self.starts[part] - at[:-1], self.lengths[part])  # from a place in the text to one in the vocabulary
+            out[at[0] : at[-1]] = self.bytes[own + np.arange(at[0], at[-1])]
+        return out.tobytes()
 
 
 class Pieces(dict):
@@ -252,28 +269,38 @@ def byte_pairs(ranks: str) -> BytePairs:
     return _pairs[ranks]
 
 
-def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the ids (array<int>) of each whole text by the rank file at that path, which every worker can read."""
+def listed(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
+def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
+    """Adds the ids (array<int>) of each whole text by the rank file at that path, which every worker can read, and the
+    offsets (array<long>): where each token begins in the text's bytes, and where the last one ends."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>,offsets:array<long>>")
     def encoded(texts: pa.Array) -> pa.Array:
-        packed = list(byte_pairs(ranks).encode_batch([x.as_py() or "" for x in texts]))
+        found = list(byte_pairs(ranks).encode_batch([x.as_py() or "" for x in texts]))
         give_back(False)
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        columns = [listed([np.frombuffer(x, "<i4") for x, _ in found], pa.int32()), listed([at for _, at in found], pa.int64())]
+        return pa.StructArray.from_arrays(columns, ["ids", "offsets"])
 
-    return df.withColumn(ids, encoded(F.col(text)))
+    own, (text,), back = apart(df, [text])
+    held = own.withColumn("_found", encoded(F.col(text)))
+    return back(held, [F.col("_found.ids").alias(ids), F.col("_found.offsets").alias(offsets)])
 
 
-def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes (binary) of each array of ids."""
+def decode(df: DataFrame, ranks: str, ids: str = "ids", offsets: str | None = "offsets", out: str = "decoded") -> DataFrame:
+    """Adds the bytes (binary) of each array of ids, put where the offsets say; without offsets they are found anew."""
 
     @F.arrow_udf("binary")
-    def decoded(column: pa.Array) -> pa.Array:
+    def decoded(column: pa.Array, places: pa.Array) -> pa.Array:
         p = byte_pairs(ranks)
-        return pa.array([p.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in column], pa.binary())
+        both = zip(column, places)
+        return pa.array([p.decode(np.array(x.as_py() or [], "<u4").tobytes(), np.array(at.as_py(), np.int64) if at.is_valid else None) for x, at in both], pa.binary())
 
-    return df.withColumn(out, decoded(F.col(ids)))
+    at = F.col(offsets) if offsets else F.lit(None).cast("array<long>")
+    return df.withColumn(out, decoded(F.col(ids), at))
 
 
 def round_trip(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
@@ -283,12 +310,15 @@ def round_trip(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids",
     def there_and_back(texts: pa.Array) -> pa.Array:
         p = byte_pairs(ranks)
         give_back(False)
-        packed = list(p.encode_batch([x.as_py() or "" for x in texts]))
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        return pa.StructArray.from_arrays([held, pa.array([hashlib.sha256(p.decode(x)).hexdigest() for x in packed], pa.string())], ["ids", "digest"])
+        rows, digests = [], []
+        for x, at in p.encode_batch([x.as_py() or "" for x in texts]):
+            rows.append(np.frombuffer(x, "<i4"))
+            digests.append(hashlib.sha256(p.decode(x, at)).hexdigest())
+        return pa.StructArray.from_arrays([listed(rows, pa.int32()), pa.array(digests, pa.string())], ["ids", "digest"])
 
-    return df.withColumn("_there", there_and_back(F.col(text))).withColumns({ids: F.col("_there.ids"), digest: F.col("_there.digest")}).drop("_there")
+    own, (text,), back = apart(df, [text])
+    held = own.withColumn("_there", there_and_back(F.col(text)))
+    return back(held, [F.col("_there.ids").alias(ids), F.col("_there.digest").alias(digest)])
 
 
 DIGEST = "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>"
@@ -302,15 +332,16 @@ def digests(df: DataFrame, ranks: str, text: str = "text") -> DataFrame:
         p = byte_pairs(ranks)
         give_back(False)
         rows = []
-        for x in p.encode_batch([x.as_py() or "" for x in texts]):
-            rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(p.decode(x)).hexdigest()))
+        for x, at in p.encode_batch([x.as_py() or "" for x in texts]):
+            rows.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(p.decode(x, at)).hexdigest()))
         return pa.StructArray.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))],
             ["n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    held = df.withColumn("_digest", digested(F.col(text)))
-    return held.withColumns({c: F.col(f"_digest.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digest")
+    own, (text,), back = apart(df, [text])
+    held = own.withColumn("_digest", digested(F.col(text)))
+    return back(held, [F.col(f"_digest.{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -443,9 +443,21 @@ SPANS = "array<struct<begin:bigint,end:bigint>>"
 
 def united_column(spans: Column) -> Column:
     """Sorted spans, those that touch as one."""
-    joined = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))
-    step = lambda a, x: F.when((F.size(a) > 0) & (x["begin"] <= F.try_element_at(a, F.lit(-1))["end"]), joined(a, x)).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), step)
+
+    @F.arrow_udf(SPANS)
+    def united_rows(column: pa.Array) -> pa.Array:
+        rows = []
+        for row in column:
+            begin, end = (x.to_numpy(zero_copy_only=False) for x in row.values.flatten()) if row.is_valid else np.zeros((2, 0), np.int64)
+            order = np.argsort(begin, kind="stable")
+            begin, upto = begin[order], np.maximum.accumulate(end[order])
+            first = np.append(True, begin[1:] > upto[:-1])[: len(begin)]
+            rows.append((begin[first], upto[np.append(first[1:], True)[: len(begin)]]))
+        ends = pa.array(np.cumsum([0, *(len(a) for a, _ in rows)]), pa.int32())
+        begins, upto = (np.concatenate(x) for x in zip(*rows)) if rows else np.zeros((2, 0), np.int64)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(begins, pa.int64()), pa.array(upto, pa.int64())], ["begin", "end"]))
+
+    return united_rows(spans)
 
 
 def united(pairs) -> list[tuple[int, int]]:

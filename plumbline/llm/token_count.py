@@ -15,12 +15,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import documents
+from plumbline.llm.common import documents, small_batches
 
 #: Pieces between white space, as the vocabulary file splits them (fixed value of its format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries that a worker remembers of each kind, before it forgets all of them.
 CACHE = 400_000
+#: Characters of an entry, at most; longer ones are counted each time.
+LONGEST = 64
 
 
 def byte_symbols() -> list[str]:
@@ -90,9 +92,11 @@ class Remembered(dict):
         self.merger = merger
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = n = self.count(key)
+        n = self.count(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = n
         return n
 
 
@@ -153,7 +157,7 @@ def with_token_counts(df: DataFrame, vocabulary: str, text: str = "text", count:
 def op1_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
     import public_tokenizers
 
-    docs = with_token_counts(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    docs = with_token_counts(small_batches(documents(spark, sf_dir).select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),

@@ -56,11 +56,13 @@ def test_byte_bpe(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [*odd_texts(3000), "", "ab" * 3000, "word " * 300_000]
     p = byte_bpe.BytePairs(path)
-    for t, ids in zip(texts, p.encode_batch(texts)):
+    for t, (ids, offsets) in zip(texts, p.encode_batch(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
-        assert p.decode(ids) == t.encode()
-    ids = next(iter(p.encode_batch(["one two"])))
-    assert p.offsets(ids).tolist() == [0, 3]
+        assert p.decode(ids, offsets) == p.decode(ids) == t.encode()
+        raw, found = t.encode(), np.frombuffer(ids, "<u4").tolist()
+        assert all(raw[a:b] == p.tokens[i] for a, b, i in zip(offsets[:200].tolist(), offsets[1:201].tolist(), found))
+    ids, offsets = next(iter(p.encode_batch(["one two"])))
+    assert offsets.tolist() == [0, 3, 7]
     df = byte_bpe.decode(byte_bpe.encode(rows(spark, texts[:40], "ids string"), path), path)
     assert all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in df.collect())
     again = byte_bpe.round_trip(rows(spark, texts[:40], "ids string"), path).collect()
