@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import dropped, stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbourhood is gathered, and each round is stored in the shared folder."""
     links = stored(links.where("u <> v").distinct(), "links")
     while True:
-        links = stored(_star(_star(links, True), False), "links")
+        before, links = links, stored(_star(_star(links, True), False), "links")
+        dropped(before)
         if is_forest_of_stars(links):
             return links
