@@ -174,13 +174,13 @@ def marked(texts: DataFrame, copies, how: Repeats) -> tuple[np.ndarray, list[byt
         r = table["range"][0].as_py()
         segment = np.zeros(1 << bits - log2, bool)
         segment[place - np.uint32(r << bits - log2)] = True
-        return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(segment, bitorder="little").tobytes(), 1)], pa.binary())})
 
     found = blocks.repartition(1 << log2, "range").groupBy("range").applyInArrow(mark, "range int, bits binary").toArrow()
     bitmap = np.zeros(1 << bits - 3, np.uint8)  # what is collected is that large at most
     width = 1 << bits - log2 - 3
     for r, b in zip(found["range"].to_pylist(), found["bits"]):
-        bitmap[r * width : (r + 1) * width] = np.frombuffer(b.as_py(), np.uint8)
+        bitmap[r * width : (r + 1) * width] = np.frombuffer(zstandard.decompress(b.as_py()), np.uint8)
     ranges = 8 * shuffle_partitions(spark)
     # splitters only balance the ranges: a piece out of each of a bounded number of texts
     place = F.pmod(F.xxhash64("key"), F.octet_length("text") - how.length).cast("int") + 1
