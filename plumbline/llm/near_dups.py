@@ -229,19 +229,22 @@ def enough_equal(how: Sketching) -> int:
     return int(how.registers * t - 5.4 * (how.registers * t * (1 - t)) ** 0.5)
 
 
-def forest(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[bytes], block: np.ndarray, i: int, j: int, how: Sketching) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[bytes], block: np.ndarray, i: int, j: int, how: Sketching, joined: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect all that links connect among two blocks of rows, each confirmed on the full sets.
 
-    Pairs go by falling number of equal registers, and those already connected are left out, so a large group of close
-    copies costs about one comparison of sets for each of its rows."""
+    joined: rows that are known to be connected. Pairs go by falling number of equal registers, and those already connected
+    are left out, so a large group of close copies costs about one comparison of sets for each of its rows."""
     unions, out = Unions(), []
+    known = np.flatnonzero(joined).tolist()
+    for x in known[1:]:
+        unions.join(known[0], x)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     full = [np.frombuffer(x, np.uint64) for x in sets]
     least = enough_equal(how)
     xs, ys, es = [], [], []
     for x in left:
         y = right[right > x] if i == j else right
-        y = y[100 * np.minimum(n[y], n[x]) >= how.percent * np.maximum(n[y], n[x])]
+        y = y[(100 * np.minimum(n[y], n[x]) >= how.percent * np.maximum(n[y], n[x])) & ~(joined[y] & joined[x])]
         equal = (regs[y] == regs[x]).sum(1)
         hit = equal >= least
         xs.append(np.full(int(hit.sum()), x))
@@ -253,6 +256,14 @@ def forest(ids: np.ndarray, n: np.ndarray, regs: np.ndarray, sets: list[bytes],
     return out
 
 
+def are_linked(p: np.ndarray, q: np.ndarray, how: Sketching) -> bool:
+    """Whether two sets, as sorted hashes, are similar enough."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= how.percent * (len(p) + len(q) - shared)
+
+
 def _settle(xs, ys, es, ids, full, unions: Unions, out: list, how: Sketching) -> None:
     if xs:
         x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
@@ -260,11 +271,7 @@ def _settle(xs, ys, es, ids, full, unions: Unions, out: list, how: Sketching) ->
             a, b = int(x[k]), int(y[k])
             if unions.root(a) == unions.root(b):
                 continue
-            p, q = full[a], full[b]
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= how.percent * (len(p) + len(q) - shared):
+            if are_linked(full[a], full[b], how):
                 unions.join(a, b)
                 out.append((int(ids[a]), int(ids[b])))
     xs.clear()
@@ -277,13 +284,65 @@ def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Ske
     pair leaves. Large groups are cut into blocks, and each pair of blocks is looked at by itself."""
     size = grouped.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1")
     size = size.select("_c", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
-    grouped = stored(grouped.join(size, F.col("c") == F.col("_c")), "groups")
+    grouped = stored(grouped.join(size, F.col("c") == F.col("_c")).drop("_c"), "groups")
     sets, sent = full_sets(docs, grouped.select("id", F.col("s1").alias("s")), key, text, how)
-    held = grouped.join(sets.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("s")))
-    held = held.withColumn("_own", F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int"))
-    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    held = held.select("c", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "id", "n", "regs", "set")
-    held = held.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    held = grouped.join(sets.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("s"))).drop("_id", "s")
+    none = F.lit(False).alias("main")
+    if grouped.where("_blocks > 1").isEmpty():
+        return linked(in_blocks(held.withColumn("main", none), how), how), sent
+    large = stored(held.where("_blocks > 1"), "large-groups")
+    near = stored(beside_least(large, how), "near-least")
+    known = near.select(F.col("id").alias("_i"), F.col("s1").alias("_s"), F.lit(True).alias("_near"))
+    large = large.join(known, (F.col("id") == F.col("_i")) & (F.col("s1") == F.col("_s")), "left").withColumn("main", F.coalesce("_near", F.lit(False))).drop("_i", "_s", "_near")
+    both = held.where("_blocks = 1").withColumn("main", none).unionByName(large)
+    return linked(in_blocks(both, how), how).unionByName(near.select(F.col("least").alias("u"), F.col("id").alias("v"))), sent
+
+
+def beside_least(large: DataFrame, how: Sketching) -> DataFrame:
+    """(id, s1, least): the rows of large groups that are linked with the least row of their group, and that row itself.
+
+    Each block of a group gets the least row as a guest, so no group comes together."""
+    own = F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int").alias("_own")
+    least = large.groupBy("c").agg(F.min_by(F.struct("id", "s1", "n", "set"), F.struct("id", "s1")).alias("_l"), F.max("_blocks").alias("_blocks"))
+    guests = least.select("c", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_own"), F.lit(0).alias("_turn"), "_l.id", "_l.s1", "_l.set")
+    rows = large.select("c", own, F.lit(1).alias("_turn"), "id", "s1", "set").unionByName(guests)
+    rows = rows.repartition("c", "_own").sortWithinPartitions("c", "_own", "_turn")
+
+    def compare(batches):
+        guest = None
+        for batch in batches:
+            found = []
+            for turn, i, s1, held in zip(*(batch.column(x).to_pylist() for x in ("_turn", "id", "s1", "set"))):
+                held_set = np.frombuffer(held, np.uint64)
+                if turn == 0:
+                    guest = (i, held_set)
+                elif are_linked(guest[1], held_set, how):
+                    found.append((i, s1, guest[0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["id", "s1", "least"])
+
+    return rows.mapInArrow(compare, "id long, s1 long, least long")
+
+
+def in_blocks(rows: DataFrame, how: Sketching, group: str = "c") -> DataFrame:
+    """rows (group, id, s1, main, _blocks, ...) for each pair of blocks (i, j) in which two of them have to be compared.
+
+    Of a large group, the main rows are known to be connected, and only the others are compared with them and with each
+    other. Both have blocks of their own, so rows are multiplied by the number of blocks of the others, not of all."""
+    out = F.count_if(~F.col("main"))
+    sizes = rows.where("_blocks > 1").groupBy(F.col(group).alias("_of")).agg(F.ceil((F.count("*") - out) / how.block).cast("int").alias("_m"), F.ceil(out / how.block).cast("int").alias("_o"))
+    held = rows.join(sizes, F.col(group) == F.col("_of"), "left").withColumns({"_m": F.coalesce("_m", F.lit(0)), "_o": F.coalesce("_o", F.lit(1))})
+    place = F.xxhash64("id", "s1")
+    own = F.when(F.col("main"), F.pmod(place, F.greatest("_m", F.lit(1)))).otherwise(F.col("_m") + F.pmod(place, F.greatest("_o", F.lit(1)))).cast("int")
+    first = F.when(F.col("main"), F.col("_m")).otherwise(0)
+    others = F.when(F.col("_m") + F.col("_o") > first, F.sequence(first, F.col("_m") + F.col("_o") - 1))
+    held = held.withColumn("_own", own).withColumn("_other", F.explode(others))
+    return held.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_other", "_of", "_m", "_o", "_blocks")
+
+
+def linked(blocks: DataFrame, how: Sketching) -> DataFrame:
+    """Confirmed links (u, v) of rows in pairs of blocks."""
+    held = blocks.select("c", "i", "j", "_own", "id", "n", "regs", "set", "main").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def link(batches):
         rows: list = []
@@ -292,7 +351,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Ske
         def close():
             ids, n, own = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 3))
             regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
-            return forest(ids, n, regs, [r[7] for r in rows], own, last[1], last[2], how)
+            return forest(ids, n, regs, [r[7] for r in rows], own, last[1], last[2], how, np.array([r[8] for r in rows], bool))
 
         found: list[tuple[int, int]] = []
         for batch in batches:
@@ -313,7 +372,7 @@ def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Ske
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["u", "v"])
 
-    return held.mapInArrow(link, "u long, v long"), sent
+    return held.mapInArrow(link, "u long, v long")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
@@ -336,14 +395,15 @@ def plausible(pairs: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
 def across(buckets: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
     """Pairs (u, v) of groups, which connect all groups of which rows share a bucket and the registers don't speak against.
 
-    buckets: (key, id, s1, c); reps: (id, s1, n, regs, ...). A bucket is cut into blocks of rows, and each pair of blocks is a task's group."""
+    buckets: (key, id, s1, c); reps: (id, s1, n, regs, ...). A large bucket is cut into blocks of rows, and each pair of blocks
+    is a task's group; the rows of its most frequent group are compared with the others only."""
     size = buckets.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
     size = size.where("_lo <> _hi AND _n > 2").select("_k", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
-    held = buckets.join(size, F.col("key") == F.col("_k"))
-    held = held.join(reps.select("id", "s1", "n", "regs"), ["id", "s1"])
-    own = F.pmod(F.xxhash64("id", "s1"), F.col("_blocks")).cast("int")
-    held = held.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    held = held.select("id", "s1", "n", "regs", "c", "_own", "key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    held = buckets.join(size, F.col("key") == F.col("_k")).drop("_k")
+    often = held.where("_blocks > 1").groupBy(F.col("key").alias("_k"), F.col("c").alias("_c")).agg(F.count("*").alias("_n"))
+    often = often.groupBy("_k").agg(F.max_by("_c", F.struct("_n", "_c")).alias("_most"))
+    held = held.join(often, F.col("key") == F.col("_k"), "left").withColumn("main", F.coalesce(F.col("c") == F.col("_most"), F.lit(False))).drop("_k", "_most")
+    held = in_blocks(held, how, "key").drop("main").join(reps.select("id", "s1", "n", "regs"), ["id", "s1"])
 
     least = enough_equal(how)
 
