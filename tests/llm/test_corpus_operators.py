@@ -211,3 +211,51 @@ def test_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs_schema()).repartition(5)
     found = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert found == [(1, " ".join(words)), *sorted(unique.items())]
+
+
+@pytest.mark.parametrize(("main", "others", "block"), [(95, 5, 10), (40, 37, 8), (30, 0, 7), (0, 25, 6), (3, 2, 9)])
+def test_pairs_of_blocks(spark, main, others, block):
+    """Rows outside of the main part meet each row once; the main part is multiplied by the blocks of the others only."""
+    n = main + others
+    rows = spark.createDataFrame([(1, i, i, i < main, -(-n // block)) for i in range(n)], "c long, id long, s1 long, main boolean, _blocks int")
+    held = near_dups.in_blocks(rows, near_dups.Sketching(block=block)).toPandas()
+    met = collections.Counter()
+    for (i, j), group in held.groupby(["i", "j"]):
+        left, right = group[group._own == i].id, group[group._own == j].id
+        met.update(tuple(sorted((a, b))) for a in left for b in right if i != j or a < b)
+    if n > block:
+        assert set(met.values()) <= {1} and set(met) == {(a, b) for b in range(main, n) for a in range(b)}
+        assert (held.id < main).sum() == main * -(-others // block)
+    else:
+        assert set(met) == {(a, b) for b in range(n) for a in range(b)}
+
+
+def test_large_groups_of_near_copies(spark):
+    """Chains of copies, of which the least text is near some only, in groups cut into many blocks."""
+    pick = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts, w = [], list(base)
+    for i in range(240):
+        if i % 60 == 0:
+            w = [f"{x}g{i}" for x in base]
+        if i % 3 == 0:
+            w = list(w)
+            w[pick.randrange(60)] = f"x{i}"  # drifts away, each text near the last ones
+        texts.append(" ".join([*w[:-1], f"y{i}"]))
+    sets = [shingles(t) for t in texts]
+    over = list(range(len(texts)))
+
+    def root(x):
+        while over[x] != x:
+            x = over[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                over[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (3000, 9):
+        found = {r["id"]: r["component_id"] for r in near_dups.near_duplicates(df, how=near_dups.Sketching(block=block)).collect()}
+        assert found == {i: root(i) for i in range(len(texts))}
