@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -71,7 +70,6 @@ def records(lines: DataFrame) -> DataFrame:
 
 #: Separates the fields that one pass of a pattern leaves.
 MARK = "\x01"
-EVENT = "struct<kind:string,data:map<string,string>>"
 
 
 def first_words(pattern: str) -> list[str]:
@@ -82,29 +80,22 @@ def first_words(pattern: str) -> list[str]:
     return (found[1] or found[2]).split("|")
 
 
-def fields_of(text: Column, pattern: str, fields: Sequence[str]) -> Column:
-    """Map of the fields of a text that matches, by one pass of the pattern; fields that are empty are left out."""
-    if not fields:
-        return F.create_map().cast("map<string,string>")
-    parts = F.split(F.regexp_replace(text, pattern, "".join(f"${i}{MARK}" for i in range(1, len(fields) + 1))), MARK)
-    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, fields)), F.slice(parts, 1, len(fields))), lambda _, v: v != "")
+def event(text: str, first: str) -> Column:
+    """Kind and fields of the text in a column by the first pattern of the catalogue that it matches; null if there is none.
 
-
-def event(text: Column, first: Column) -> Column:
-    """Kind and fields by the first pattern of the catalogue that the text matches; null if there is none.
-
-    first: the text's first word. Only the few patterns that begin with it are tried."""
-    by_word: dict[str, list] = {}
+    first: the column of the text's first word. Only the few patterns that begin with it are tried, and one pass of the
+    pattern that matches leaves all fields; those that are empty are left out. One expression of SQL: building it call by
+    call would take seconds."""
+    by_word: dict[str, list[str]] = {}
     for name, pattern, fields in config.EVENTS:
+        marks = "".join(f"${i}{MARK}" for i in range(1, len(fields) + 1))
+        names = ", ".join(f"'{f}'" for f in fields)
+        held = f"slice(split(regexp_replace({text}, r'{pattern}', '{marks}'), '{MARK}'), 1, {len(fields)})"
+        data = f"map_filter(map_from_arrays(array({names}), {held}), (k, v) -> v <> '')" if fields else "CAST(map() AS map<string,string>)"
         for word in first_words(pattern):
-            by_word.setdefault(word, []).append((text.rlike(pattern), F.struct(F.lit(name).alias("kind"), fields_of(text, pattern, fields).alias("data"))))
-    out = F
-    for word, tries in by_word.items():
-        one = F
-        for matches, found in tries:
-            one = one.when(matches, found)
-        out = out.when(first == word, one)
-    return out.otherwise(F.lit(None).cast(EVENT))
+            by_word.setdefault(word, []).append(f"WHEN {text} RLIKE r'{pattern}' THEN named_struct('kind', '{name}', 'data', {data})")
+    tries = " ".join(f"WHEN '{word}' THEN CASE {' '.join(whens)} END" for word, whens in by_word.items())
+    return F.expr(f"CASE {first} {tries} END")
 
 
 def call_site(action: Column) -> Column:
@@ -127,7 +118,7 @@ def events(recs: DataFrame) -> DataFrame:
     held = recs.withColumn("_full", F.when(F.size("continuation") > 0, full))
     word = lambda c: F.substring_index(c, " ", 1)
     held = held.withColumns({"_first": word("msg"), "_first_full": word("_full")})
-    held = held.withColumns({"_by_full": event(F.col("_full"), F.col("_first_full")), "_by_msg": event(F.col("msg"), F.col("_first"))})
+    held = held.withColumns({"_by_full": event("_full", "_first_full"), "_by_msg": event("msg", "_first")})
     held = held.withColumn("_event", F.coalesce("_by_full", "_by_msg"))
     kind, data = F.col("_event.kind"), F.col("_event.data")
     alert = F.col("level").isin(*config.ALERT_LEVELS)

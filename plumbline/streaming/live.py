@@ -21,10 +21,10 @@ def events(stream: DataFrame) -> DataFrame:
     held = stream.where(text.rlike(config.HEADER)).select(
         "log_id", F.try_to_timestamp(part(1), F.lit(config.TIME_FORMAT)).alias("ts"), part(2).alias("level"), part(3).alias("component"), part(4).alias("msg")
     )
-    held = held.withColumn("_event", event(F.col("msg"), F.substring_index("msg", " ", 1)))
+    held = held.withColumn("_first", F.substring_index("msg", " ", 1)).withColumn("_event", event("msg", "_first"))
     kind = F.coalesce("_event.kind", F.when(F.col("level").isin(*config.ALERT_LEVELS), config.UNMATCHED))
     one = F.struct(kind.alias("event_type"), F.coalesce("_event.data", F.create_map().cast("map<string,string>")).alias("data"))
-    return held.select(*(c for c in held.columns if c != "_event"), F.inline(F.when(kind.isNotNull(), F.array(one))))
+    return held.select(*(c for c in held.columns if c not in ("_first", "_event")), F.inline(F.when(kind.isNotNull(), F.array(one))))
 
 
 def counts(stream: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
