@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.columns import apart
-from plumbline.llm.common import documents, give_back, mix64, shuffle_partitions, small_batches, stored, text_slices
+from plumbline.llm.common import documents, give_back, mix64, settle, shuffle_partitions, small_batches, stored, text_slices
 
 
 @dataclass(frozen=True)
@@ -489,12 +489,13 @@ def _with_spans(docs: DataFrame, key: str, text: str, how: Repeats, with_rest: b
     texts = docs.select(own.alias("key"), raw.alias("text"))
     copies = docs.sparkSession.sparkContext.broadcast(whole_copies(texts, how))
     bitmap, splitters = marked(texts, copies, how)
+    settle(docs.sparkSession)
     found, sent = spans(texts, copies, bitmap, splitters, how)
     found = found.groupBy(F.col("key").alias("_found")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     found = stored(found, "spans")  # after the shuffle, which leaves a few files instead of one for each range
     sent.destroy()
     del bitmap
-    give_back()
+    settle(docs.sparkSession)
     # texts without a span needn't be shuffled: a bitmap of fixed size tells most of them
     place = F.pmod(F.xxhash64("_found"), F.lit(1 << BITMAP))
     bits = found.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_found), {1 << BITMAP}) % 64 as int))").alias("bit"))
