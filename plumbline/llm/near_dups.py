@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.columns import NUMBER, numbered
-from plumbline.llm.common import documents, give_back, mix64, small_batches, stored, text_slices
+from plumbline.llm.common import documents, give_back, mix64, settle, small_batches, stored, text_slices
 from plumbline.llm.graph import components
 from plumbline.llm.lm_score import WordIds, hashes_of, tokens_of
 
@@ -290,7 +290,8 @@ def confirmed(docs: DataFrame, grouped: DataFrame, key: str, text: str, how: Ske
     none = F.lit(False).alias("main")
     if grouped.where("_blocks > 1").isEmpty():
         return linked(in_blocks(held.withColumn("main", none), how), how), sent
-    large = stored(held.where("_blocks > 1"), "large-groups")
+    held = stored(held, "grouped-sets")  # read twice, and texts are scanned once
+    large = held.where("_blocks > 1")
     near = stored(beside_least(large, how), "near-least")
     known = near.select(F.col("id").alias("_i"), F.col("s1").alias("_s"), F.lit(True).alias("_near"))
     large = large.join(known, (F.col("id") == F.col("_i")) & (F.col("s1") == F.col("_s")), "left").withColumn("main", F.coalesce("_near", F.lit(False))).drop("_i", "_s", "_near")
@@ -399,7 +400,7 @@ def across(buckets: DataFrame, reps: DataFrame, how: Sketching) -> DataFrame:
     is a task's group; the rows of its most frequent group are compared with the others only."""
     size = buckets.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("_n"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
     size = size.where("_lo <> _hi AND _n > 2").select("_k", F.ceil(F.col("_n") / how.block).cast("int").alias("_blocks"))
-    held = buckets.join(size, F.col("key") == F.col("_k")).drop("_k")
+    held = stored(buckets.join(size, F.col("key") == F.col("_k")).drop("_k"), "buckets")  # those whose rows differ in group
     often = held.where("_blocks > 1").groupBy(F.col("key").alias("_k"), F.col("c").alias("_c")).agg(F.count("*").alias("_n"))
     often = often.groupBy("_k").agg(F.max_by("_c", F.struct("_n", "_c")).alias("_most"))
     held = held.join(often, F.col("key") == F.col("_k"), "left").withColumn("main", F.coalesce(F.col("c") == F.col("_most"), F.lit(False))).drop("_k", "_most")
@@ -449,15 +450,18 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, how: Sketching) -> Da
     star = star.select(F.col("_m.id").alias("a"), F.col("_m.s1").alias("sa"), F.col("id").alias("b"), F.col("s1").alias("sb")).where("a <> b").distinct()
     star = plausible(star, reps, how).select(F.col("a").alias("u"), F.col("b").alias("v"))
     hung = components(star)
+    settle(docs.sparkSession)
 
     part = reps.join(hung, F.col("id") == F.col("u"), "left").withColumn("c", F.coalesce("v", "id")).drop("u", "v")
     more = stored(across(part.select(F.explode("keys").alias("key"), "id", "s1", "c"), reps, how), "across")
     if not more.isEmpty():
         over = components(more)
         part = part.join(over, F.col("c") == F.col("u"), "left").withColumn("c", F.coalesce("v", "c"))
+    settle(docs.sparkSession)
     links, sent = confirmed(docs, part.select("id", "s1", "n", "regs", "c"), key, text, how)
     hung = components(links)
     sent.destroy()
+    settle(docs.sparkSession)
 
     named = reps.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.col("n").alias("_n"), F.col("id").alias("_rep"))
     out = held.select("id", "n", "s1", "s2").join(named, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n") == F.col("_n")), "left")
